@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, word_hashes
+from .common import U64, mix, small, word_hashes
 
 #: Documented bounds: labelled documents learnt from, hashed features, length of a vector.
 MAX_TRAIN, BUCKETS, WIDTH = 2_000, 1 << 16, 8
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     some = docs.select("doc_id", F.col("text").cast("binary").alias("__t")).join(F.broadcast(learn), F.col("doc_id") == F.col("__id"))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [document_features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(3), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())],
@@ -167,7 +167,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
     def run(batches):
         own, cache = Model(*shared.value), {}
-        for b in batches:
+        for b in small(batches):
             scores = [own.score(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(scores, pa.float64())], names)
 

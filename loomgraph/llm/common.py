@@ -112,6 +112,14 @@ def ints_of(batch: pa.RecordBatch, name: str = "doc_id") -> list[int | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def small(batches, limit: int = 4_000_000):
+    """The batches cut into ones of about limit bytes, so that what a task makes of a batch stays small."""
+    for b in batches:
+        step = max(1, int(b.num_rows * limit / max(1, b.nbytes)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 # --- merged partition sketches ------------------------------------------------------------------
 
 

@@ -17,7 +17,8 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -368,7 +369,7 @@ def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             base = [base_spans(t) for t in texts]
             near = [i for i, t in enumerate(texts) if TRIGGER.search(t)]

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level tokenizers cut text before they look for pieces.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -85,7 +87,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         pieces, find, known = with_suffixes(shared.value), regex.compile(PRE_TOKEN).findall, {}
-        for b in batches:
+        for b in small(batches):
             found = [find(t or "") for t in b.column(1).to_pylist()]
             new = {x for own in found for x in own if x not in known}
             if len(known) + len(new) > CACHE:
