@@ -28,12 +28,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder named by spark.checkpoint.dir; a temporary one of this session only where it is unset."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+    return context.getCheckpointDir()
 
 
 class Stash:

@@ -160,13 +160,6 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     return stay.groupBy("first.doc", "first.key").agg(F.sort_array(F.collect_list("first.pos")).alias("kept"))
 
 
-def with_kept(docs: DataFrame) -> DataFrame:
-    """docs with __kept: judged line positions that stay (null: none)."""
-    kept = kept_lines(docs).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("kept").alias("__kept")).hint("shuffle_hash")
-    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    return docs.join(kept, match, "left").drop("__doc", "__key")
-
-
 def positions(line_test) -> Column:
     """Positions of the lines of __lines for which line_test holds."""
     return F.filter(F.transform("__lines", lambda x, i: F.when(line_test(x), i)), lambda i: i.isNotNull())
@@ -200,13 +193,16 @@ def remove_lines(docs: DataFrame) -> DataFrame:
 
     A document that had no word before stays as it is. n_chars, if there, is the new length.
     """
-    out = with_kept(docs).withColumn("__lines", F.split("text", "\n"))
+    # columns are packed, so that none of theirs can clash with what is added
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("k"), "text")
+    kept = kept_lines(docs).hint("shuffle_hash")
+    out = row.join(kept, (F.col("d") == F.col("doc")) & (F.col("k") == F.col("key")), "left").withColumn("__lines", F.split("text", "\n"))
     short = positions(lambda x: ~is_judged(x))
-    stay = F.sort_array(F.concat(F.coalesce("__kept", F.array().cast("array<int>")), short))
-    out = out.withColumn("__stay", stay).withColumn("__text", F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
+    stay = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), short))
+    out = out.withColumn("stay", stay).withColumn("left", F.array_join(F.transform("stay", lambda i: F.get("__lines", i)), "\n"))
     word = f"[^{SPACE[1:-1]}]"
-    out = out.where(F.col("text").isNull() | F.col("__text").rlike(word) | ~F.col("text").rlike(word))
-    text = {"text": F.when(F.col("text").isNotNull(), F.col("__text"))}
+    out = out.where(F.col("text").isNull() | F.col("left").rlike(word) | ~F.col("text").rlike(word))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("left"))}
     if "n_chars" in docs.columns:
-        text["n_chars"] = F.char_length("__text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(text).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.char_length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
