@@ -34,14 +34,16 @@ MEANS, COVS = [f"m{j}" for j in range(P)], [f"c{j}{k}" for j in range(P) for k i
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the five base columns and base_failed; each text is read once, whole."""
     text = F.coalesce("text", F.lit(""))
-    bare = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
-    out = docs.select("doc_id", "lang", "source", text.alias("t"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+")).alias("w"))
-    out = out.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")))
+    # one plain character between words lets split search without a pattern: its empty pieces tell how many there were
+    spaced = text
+    for c in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    out = docs.select("doc_id", "lang", "source", text.alias("t"), F.split(spaced, " ").alias("pieces"), F.split(text, "\n").alias("lines"))
+    out = out.withColumns({"w": F.array_remove("pieces", ""), "lines": F.filter("lines", lambda x: x.rlike(f"[^{SPACE[1:-1]}]"))})
     hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     out = out.withColumn("h", F.when(F.size("w") >= 3, hashes).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("sorted", F.sort_array("h"))
     # only a text with a repeated window pays for sorting windows with their places
-    out = out.withColumn("some", F.exists(F.transform("sorted", lambda x, i: F.coalesce(x == F.get("sorted", i + 1), F.lit(False))), lambda x: x))
+    out = out.withColumn("some", F.size(F.array_distinct("h")) < F.size("h"))
     out = out.withColumn("places", F.when(F.col("some"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     again = F.filter(
         F.transform("places", lambda x, i: F.when((F.get("places", i - 1)["h"] == x["h"]) | (F.get("places", i + 1)["h"] == x["h"]), x["i"])),
@@ -54,8 +56,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "lang",
         "source",
         F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.char_length("t") - F.size("pieces") + 1).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("some"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
