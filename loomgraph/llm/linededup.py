@@ -1,14 +1,17 @@
 """Near-duplicate line removal by segment partition, with DataFrame operations alone.
 
-Distinct lines are split into EDITS + 1 segments. A line within EDITS edits of another holds one
-of that line's segments unchanged, at a place that the segment's number and the difference in
-length bound; so each line is indexed by (length, segment number, segment) and probes with the few
-substrings that can match. Candidates are verified by edit distance in a band of 2 * EDITS + 1
-diagonals whose column of differences is one machine word, updated by bit operations.
+Distinct lines are split into EDITS + 1 segments. A line within an edit of another holds one of that
+line's segments unchanged, at a place that the segment's number and the difference in length fix; so
+each line is indexed by (length, segment), and probes with the substrings that can match: its own
+segments, as one of equal length does, and those of lines shorter by one. Where many lines meet, the
+segment that may differ is split again, until few meet. Candidates are verified by edit distance in a
+band of 2 * EDITS + 1 diagonals whose column of differences is one machine word, updated by bit operations.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,39 +19,54 @@ from .common import SPACE, Stash
 
 #: Edit threshold, and the shortest line (code points) that is judged; shorter ones always stay.
 EDITS, LEAST_CHARS = 1, 20
+#: Keys at which more pairs than GROUP would meet are replaced by finer ones: PARTS of what they leave out.
+GROUP, PARTS = 256, 8
 #: Bits of the map of candidate lines, whose broadcast size they fix: 2**25 bits are 4 MB.
 MAP_BITS, MAP_WORD = 25, 32_768
 
 
-def segment(n: Column, i: int, k: int = EDITS + 1) -> tuple[Column, Column]:
-    """1-based start and length of segment i of k in a line of n characters: the last ones are longer by one at most."""
-    short = F.floor(n / k).cast("int")
-    longer = (n - short * k).cast("int")
-    return (F.lit(i - 1) * short + F.greatest(F.lit(0), longer - (k - i + 1)) + 1).cast("int"), short + F.when(F.lit(i) > k - longer, 1).otherwise(0)
+def bounds(m: int, lo: Column, hi: Column) -> list[tuple[Column, Column]]:
+    """Bounds of the m segments of the characters lo to hi (from 0, end exclusive); of two, the last is longer by one at most."""
+    at = [lo + F.floor((hi - lo) * j / m).cast("int") for j in range(m + 1)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
 
+def entry(line: Column, d: Column, lo: Column, hi: Column) -> Column:
+    """Index entry (d 0) of a line, or its probe (d 1) for lines shorter by one character: all but their characters lo to hi.
 
-def probes(tau: int = EDITS) -> list[tuple[int, int, int]]:
-    """(segment, shorter by, shift) of every substring that must be looked up (multi-match-aware selection)."""
-    return [
-        (i, d, s)
-        for i in range(1, tau + 2)
-        for d in range(tau + 1)
-        for s in range(max(1 - i, d - (tau + 1 - i)), min(i - 1, d + tau + 1 - i) + 1)
-    ]
+    What precedes lo is at the same place in both lines, what follows hi is d places later in the longer one.
+    """
+    n = F.char_length(line) - d
+    key = F.xxhash64(n, lo, hi, F.substring(line, F.lit(1), lo), F.substring(line, hi + d + 1, n - hi))
+    return F.struct(key.alias("key"), d.cast("int").alias("d"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
-def keys(line: Column, n: Column) -> Column:
-    """All index and probe entries of a line: array of (key, side); side 0 is the index."""
+def first_entries(lines: DataFrame) -> DataFrame:
+    """lines with (key, d, lo, hi) for each of EDITS + 1 segments left out: a line within EDITS edits holds the other one unchanged."""
     out = []
-    for i in range(1, EDITS + 2):
-        start, size = segment(n, i)
-        out.append(F.struct(F.xxhash64(n, F.lit(i), F.substring(line, start, size)).alias("key"), F.lit(0).alias("side")))
-    for i, d, s in probes():
-        start, size = segment(n - d, i)
-        at = start + s
-        key = F.xxhash64((n - d).cast("int"), F.lit(i), F.substring(line, at, size))
-        out.append(F.struct(F.when((at >= 1) & (at + size - 1 <= n), key).alias("key"), F.lit(1).alias("side")))
-    return F.filter(F.array(*out), lambda x: x["key"].isNotNull())
+    for d in range(EDITS + 1):
+        n = (F.char_length("line") - d).cast("int")
+        out += [entry(F.col("line"), F.lit(d), lo, hi) for lo, hi in bounds(EDITS + 1, F.lit(0), n)]
+    return lines.select("*", F.explode(F.array(*out)).alias("e")).select(*lines.columns, "e.key", "e.d", "e.lo", "e.hi")
+
+
+def finer_entries(entries: DataFrame) -> DataFrame:
+    """Entries that leave out a PARTS-th of what entries leave out: the edit is in one of the parts, the others are held too."""
+    out = [entry(F.col("line"), F.col("d"), lo, hi) for lo, hi in bounds(PARTS, F.col("lo"), F.col("hi"))]
+    return entries.select("h1", "line", F.explode(F.array(*out)).alias("e")).select("h1", "line", "e.key", "e.d", "e.lo", "e.hi").where("lo < hi")
+
+
+def shared_keys(entries: DataFrame) -> DataFrame:
+    """(key, own, far) of the keys at which lines meet: own lines of the key's length, far ones that are longer."""
+    counts = entries.groupBy("key").agg(F.sum(F.lit(1) - F.col("d")).alias("own"), F.sum("d").alias("far"))
+    return counts.where("own > 1 or own * far > 0")
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(a, b) of the lines that meet at a key, each pair of a key once."""
+    index = entries.where("d = 0").select(F.col("key").alias("k"), F.col("h1").alias("i"))
+    met = entries.select("key", "d", "h1").join(index, (F.col("key") == F.col("k")) & ((F.col("d") == 1) | (F.col("h1") < F.col("i"))))
+    return met.select(F.least("h1", "i").alias("a"), F.greatest("h1", "i").alias("b"))
 
 
 def with_ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -122,24 +140,37 @@ def judged_lines(docs: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b) of line hashes h1, a < b, that share an index entry."""
-    entries = lines.select("h1", F.explode(keys(F.col("line"), F.col("n"))).alias("e")).select("h1", "e.key", "e.side")
-    index = entries.where("side = 0").select(F.col("key").alias("k"), F.col("h1").alias("i"))
-    probe = entries.where("side = 1").select("key", "h1")
-    met = probe.join(index, (F.col("key") == F.col("k")) & (F.col("h1") != F.col("i")))
-    return met.select(F.least("h1", "i").alias("a"), F.greatest("h1", "i").alias("b")).distinct()
+    """(a, b) of line hashes h1, a < b, that meet at a key. A key at which many lines meet is replaced by finer ones.
 
-
-def candidate_map(pairs: DataFrame) -> DataFrame:
-    """(word, bitmap) of the hashes in pairs: at most 2**MAP_BITS bits whatever their number."""
+    Two lines within an edit meet at one of the finer keys again, so none of them is lost; the
+    replacement ends where a single character is left out, at which lines that meet are linked.
+    """
+    slim = lines.select("h1", "line")
+    shared = Stash(shared_keys(first_entries(slim)), "line-keys").df
+    some = mapped(first_entries(slim), "key", hash_map(shared.select(F.col("key").alias("h"))))
+    found = []
+    while True:
+        held = Stash(some.join(shared, "key"), "line-entries").df
+        few = (F.col("own") * (F.col("own") + F.col("far")) <= GROUP) | (F.col("hi") - F.col("lo") <= 1)
+        found.append(meetings(held.where(few)))
+        many = held.where(~few)
+        if many.isEmpty():
+            break
+        some = finer_entries(many)
+        shared = shared_keys(some)
+    return reduce(DataFrame.union, found).distinct()
+
+
+def hash_map(hashes: DataFrame) -> DataFrame:
+    """(word, bitmap) of the column h: at most 2**MAP_BITS bits whatever the number of rows."""
     place = F.pmod("h", F.lit(1 << MAP_BITS))
-    return pairs.select(F.explode(F.array("a", "b")).alias("h")).select(place.alias("p")).groupBy(F.floor(F.col("p") / MAP_WORD).cast("int").alias("word")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(MAP_WORD))).alias("bitmap"))
+    return hashes.select(place.alias("p")).groupBy(F.floor(F.col("p") / MAP_WORD).cast("int").alias("word")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(MAP_WORD))).alias("bitmap"))
 
 
-def mapped(lines: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Lines whose hash the map holds; the map is broadcast, its size is fixed."""
-    place = F.pmod("h1", F.lit(1 << MAP_BITS))
-    some = lines.withColumn("place", place).join(F.broadcast(bitmap), F.floor(F.col("place") / MAP_WORD).cast("int") == F.col("word"))
+def mapped(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose hash in column the map holds; the map is broadcast, its size is fixed."""
+    place = F.pmod(column, F.lit(1 << MAP_BITS))
+    some = df.withColumn("place", place).join(F.broadcast(bitmap), F.floor(F.col("place") / MAP_WORD).cast("int") == F.col("word"))
     bit = F.pmod("place", F.lit(MAP_WORD)).cast("int")
     byte = F.conv(F.hex(F.substring("bitmap", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return some.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).drop("place", "word", "bitmap")
@@ -150,7 +181,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc", "key", "pos")).alias("first")
     classes = Stash(judged_lines(docs).groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("n").alias("n")), "lines").df
     pairs = Stash(candidate_pairs(classes), "line-pairs")
-    near = mapped(classes, candidate_map(pairs.df)).select("h1", "h2", "first", F.split("line", "").alias("chars"))
+    near = mapped(classes, "h1", hash_map(pairs.df.select(F.explode(F.array("a", "b")).alias("h")))).select("h1", "h2", "first", F.split("line", "").alias("chars"))
     left, right = (near.select(*[F.col(c).alias(f"{c}_{s}") for c in near.columns]) for s in "ab")
     both = pairs.df.join(left, F.col("a") == F.col("h1_a")).join(right, F.col("b") == F.col("h1_b"))
     linked = with_ordered(both, "chars_a", "chars_b").where(within("long", "short"))
