@@ -3,7 +3,9 @@
 Every set is put in one global order of its n-grams: by frequency, estimated over the whole corpus
 by a merged counting sketch of fixed size, then by hash. Equal sets are one class, handled once.
 Two sets that reach the similarity share an n-gram among the first |x| - ceil(t |x|) + 1 of each,
-so classes that share such an n-gram are the candidates.
+so classes that share such an n-gram are the candidates, if at the first n-gram they share what is left of
+both sets can still hold the overlap. Where they meet at a later n-gram the same test may only turn
+down pairs that the first one has proposed already.
 
 Candidates are verified in tries: the sets to be compared with one query set are stored in global
 order, so that sets with equal beginnings share a path; overlaps with the query are carried down the
@@ -36,7 +38,7 @@ LEVEL_SHIFT = 59
 #: SMALL (FEW after the first round); else all compare with LEADERS of each size, 512 times as many each round.
 SMALL, FEW, LEADERS = 16, 64, 8
 #: Prefix n-grams that a task gathers before it deals them out; sets that one task compares with a hot leader.
-FLUSH, CHUNK = 2_000_000, 512
+FLUSH, CHUNK = 1_000_000, 512
 LAST = np.iinfo(np.int64).max
 
 
@@ -133,17 +135,17 @@ def frequency_levels(parts: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_rows(batches, levels, bits: int, buckets: int):
-    """First n-grams of each class that the task meets, packed for the bucket that their code picks."""
+    """First n-grams of each class that the task meets, with their places, packed for the bucket that their code picks."""
 
     def flush(held):
-        token, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        token, cls, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
         at = (mix(token) % U64(buckets)).astype(np.int32)
         order = np.argsort(at, kind="stable")
-        at, token, cls, n = at[order], token[order], cls[order], n[order]
+        at, columns = at[order], [x[order] for x in (token, cls, n, place)]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         ends = np.append(cut[1:], len(at))
-        data = [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in (token, cls, n)]
-        return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int32()), *data], ["bucket", "token", "cls", "n"])
+        data = [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int32()), *data], ["bucket", "token", "cls", "n", "place"])
 
     held, total, seen = [], 0, set()
     for b in batches:
@@ -157,7 +159,7 @@ def prefix_rows(batches, levels, bits: int, buckets: int):
                 seen.clear()
             seen.add(cls)
             p = prefix_length(len(h))
-            held.append((codes(h, levels, bits)[:p], np.full(p, cls, np.int64), np.full(p, len(h), np.int32)))
+            held.append((codes(h, levels, bits)[:p], np.full(p, cls, np.int64), np.full(p, len(h), np.int32), np.arange(p, dtype=np.int32)))
             total += p
             if total >= FLUSH:
                 yield flush(held)
@@ -171,7 +173,14 @@ def compatible(a, b):
     return (4 * a >= 3 * b) & (4 * b >= 3 * a)
 
 
-def propose(cls: np.ndarray, n: np.ndarray, root: np.ndarray, few: int, k: int) -> tuple[np.ndarray, bool]:
+def reachable(n: np.ndarray, place: np.ndarray, i):
+    """Whether the sets can reach the similarity with set i if the n-gram at place is the first that they share."""
+    n = n.astype(np.int64)
+    left = n - place
+    return compatible(n, n[i]) & (7 * np.minimum(left, left[i]) >= 3 * (n + n[i]))
+
+
+def propose(cls: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, few: int, k: int) -> tuple[np.ndarray, bool]:
     """Pairs of positions of a group's members in different components to compare next, and whether they are all there are."""
     names, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
     largest = inverse == counts.argmax()
@@ -187,7 +196,7 @@ def propose(cls: np.ndarray, n: np.ndarray, root: np.ndarray, few: int, k: int)
         complete = len(np.intersect1d(lead, others)) == len(others)
     out = [np.empty((0, 2), np.int64)]
     for i in lead:
-        some = np.flatnonzero((inverse != inverse[i]) & compatible(n.astype(np.int64), int(n[i])))
+        some = np.flatnonzero((inverse != inverse[i]) & reachable(n, place, i))
         out.append(np.stack([np.minimum(some, i), np.maximum(some, i)], 1))
     return np.concatenate(out), complete
 
@@ -212,16 +221,17 @@ class Pairs:
 
 def candidate_groups(table):
     """One bucket: pairs of candidate classes (a < b), and the members of groups whose pairs are not all there."""
-    rows = [[np.frombuffer(x.as_py(), t) for x in table.column(k)] for k, t in (("token", np.uint64), ("cls", np.int64), ("n", np.int32))]
-    token, cls, n = (np.concatenate(x) for x in rows)
-    order = np.lexsort((cls, token))
-    token, cls, n = token[order], cls[order], n[order]
+    rows = [[np.frombuffer(x.as_py(), t) for x in table.column(k)] for k, t in (("token", np.uint64), ("cls", np.int64), ("n", np.int32), ("place", np.int32))]
+    token, cls, n, place = (np.concatenate(x) for x in rows)
+    order = np.lexsort((cls, token))  # by code, so that of groups with equal members the first has the earliest places
+    token, cls, n, place = token[order], cls[order], n[order], place[order]
     keep = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])
-    token, cls, n = token[keep], cls[keep], n[keep]
+    token, cls, n, place = token[keep], cls[keep], n[keep], place[keep]
     cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     sizes = np.diff(np.append(cut, len(token)))
     two = cut[sizes == 2]
-    two = two[compatible(n[two].astype(np.int64), n[two + 1].astype(np.int64))]
+    first, second = n[two].astype(np.int64), n[two + 1].astype(np.int64)
+    two = two[compatible(first, second) & (7 * np.minimum(first - place[two], second - place[two + 1]) >= 3 * (first + second))]
     pairs, large, done = Pairs(cls), [], set()
     pairs.add(cls[two], cls[two + 1])
     for a, size in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -229,10 +239,10 @@ def candidate_groups(table):
         if (own := members.tobytes()) in done:
             continue
         done.add(own)
-        found, complete = propose(members, n[a : a + size], members, SMALL, LEADERS)
+        found, complete = propose(members, n[a : a + size], place[a : a + size], members, SMALL, LEADERS)
         pairs.add(members[found[:, 0]], members[found[:, 1]])
         if not complete:
-            large.append((int(token[a : a + 1].view(np.int64)[0]), own, n[a : a + size].tobytes()))
+            large.append((int(token[a : a + 1].view(np.int64)[0]), own, n[a : a + size].tobytes(), place[a : a + size].tobytes()))
     first, second = pairs.columns()
     m, g = len(first), len(large)
     column = lambda values, kind: pa.concat_arrays([pa.nulls(m, kind), pa.array(values, kind)])
@@ -240,9 +250,7 @@ def candidate_groups(table):
         {
             "a": pa.concat_arrays([pa.array(first), pa.nulls(g, pa.int64())]),
             "b": pa.concat_arrays([pa.array(second), pa.nulls(g, pa.int64())]),
-            "token": column([x for x, _, _ in large], pa.int64()),
-            "cls": column([x for _, x, _ in large], pa.binary()),
-            "n": column([x for _, _, x in large], pa.binary()),
+            **{c: column([x[k] for x in large], pa.binary() if k else pa.int64()) for k, c in enumerate(("token", "cls", "n", "place"))},
         }
     )
 
@@ -433,29 +441,29 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, n_groups: int, k: int)
 
     def explode(batches):
         for b in batches:
-            for t, c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                cls, size = np.frombuffer(c, np.int64), np.frombuffer(n, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), t)), pa.array(cls), pa.array(size)], ["token", "cls", "n"])
+            for t, c, n, p in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                cls = np.frombuffer(c, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), t)), pa.array(cls), *(pa.array(np.frombuffer(x, np.int32)) for x in (n, p))], ["token", "cls", "n", "place"])
 
-    members = groups.mapInArrow(explode, "token long, cls long, n int")
-    members = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    members = groups.mapInArrow(explode, "token long, cls long, n int, place int")
+    members = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     several = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
     members = members.join(several, F.col("token") == F.col("t"), "left_semi").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
 
     def pairs(table):
-        token, cls, n, root = (table.column(k).to_numpy() for k in ("token", "cls", "n", "root"))
+        token, cls, n, place, root = (table.column(k).to_numpy() for k in ("token", "cls", "n", "place", "root"))
         order = np.lexsort((cls, token))
-        token, cls, n, root = token[order], cls[order], n[order], root[order]
+        token, cls, n, place, root = token[order], cls[order], n[order], place[order], root[order]
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         out, more = Pairs(cls), False
         for a, z in zip(cut, np.append(cut[1:], len(token)), strict=True):
-            found, complete = propose(cls[a:z], n[a:z], root[a:z], FEW, k)
+            found, complete = propose(cls[a:z], n[a:z], place[a:z], root[a:z], FEW, k)
             out.add(cls[a:z][found[:, 0]], cls[a:z][found[:, 1]])
             more |= not complete
         end = pa.nulls(int(more), pa.int64())
         return pa.table({c: pa.concat_arrays([pa.array(x), end]) for c, x in zip("ab", out.columns(), strict=True)})
 
-    dealt = members.select("bucket", "token", "cls", "n", "root").repartition(buckets, "bucket")
+    dealt = members.select("bucket", "token", "cls", "n", "place", "root").repartition(buckets, "bucket")
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -479,10 +487,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
 
     buckets = buckets_for(size // 24, 300_000, 48)
-    prefixes = base.mapInArrow(lambda batches: prefix_rows(batches, levels.value, bits, buckets), "bucket int, token binary, cls binary, n binary")
-    found = Stash(prefixes.groupBy("bucket").applyInArrow(candidate_groups, "a long, b long, token long, cls binary, n binary"), "candidates")
+    prefixes = base.mapInArrow(lambda batches: prefix_rows(batches, levels.value, bits, buckets), "bucket int, token binary, cls binary, n binary, place binary")
+    found = Stash(prefixes.groupBy("bucket").applyInArrow(candidate_groups, "a long, b long, token long, cls binary, n binary, place binary"), "candidates")
     pairs = found.df.where("a is not null").select("a", "b").distinct()
-    groups = found.df.where("cls is not null").select("token", "cls", "n")
+    groups = found.df.where("cls is not null").select("token", "cls", "n", "place")
 
     n_pairs = pairs.count()
     roots = None
