@@ -13,7 +13,8 @@ path once, and a subtree is left as soon as what remains of the query cannot rea
 
 A small group of candidates compares all its members. A large one would make pairs by the square,
 so it first compares members with a few leaders of about their size, which joins groups of copies
-into components; only pairs of members whose components still differ are compared after that. No
+into components; only pairs of members whose components still differ are compared after that, and of
+these only such whose parity signatures differ in no more bits than linked sets may in n-grams. No
 pair of linked sets is lost: each is compared, or known to be connected already.
 """
 
@@ -39,6 +40,8 @@ LEVEL_SHIFT = 59
 SMALL, FEW, LEADERS = 16, 64, 8
 #: Prefix n-grams that a task gathers before it deals them out; sets that one task compares with a hot leader.
 FLUSH, CHUNK = 1_000_000, 512
+#: Bits of the parity signature by which pairs of large groups are turned down.
+SIGNATURE = 512
 LAST = np.iinfo(np.int64).max
 
 
@@ -81,6 +84,11 @@ def class_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """Parity of the number of hashes at each bit: two sets' signatures differ in at most as many bits as the sets in members."""
+    return np.packbits(np.bincount((hashes & U64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+
+
 def codes(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     """Hashes as codes that sort in the global order."""
     level = levels[(hashes & U64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64)
@@ -91,17 +99,18 @@ def codes(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
 
 
 def first_pass(batches, bits: int):
-    """(doc, class, n) of each row, and this task's counts of n-grams in sketch blocks."""
+    """(doc, class, n, sig) of each row, and this task's counts of n-grams in sketch blocks."""
     counts = np.zeros(1 << bits, np.uint32)
-    names = ["doc", "class", "n", "block", "data"]
+    names = ["doc", "class", "n", "sig", "block", "data"]
 
     def count(sets: list[np.ndarray]) -> None:
         counts[:] += np.bincount((np.concatenate(sets) & U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
     for b in batches:
-        ids, sizes, held, total = [], [], [], 0
+        ids, sizes, sigs, held, total = [], [], [], [], 0
         for h in shingle_sets(b.column(1).to_pylist()):
             ids.append(class_id(h) if len(h) else None)
+            sigs.append(signature(h) if len(h) else None)
             sizes.append(len(h))
             held.append(h)
             total += len(h)
@@ -110,11 +119,11 @@ def first_pass(batches, bits: int):
                 held, total = [], 0
         if held:
             count(held)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
     parts = np.split(counts, BLOCKS)
     some = [k for k in range(BLOCKS) if parts[k].any()]
     none = pa.nulls(len(some), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())], names)
 
 
 def frequency_levels(parts: DataFrame, bits: int) -> np.ndarray:
@@ -180,7 +189,7 @@ def reachable(n: np.ndarray, place: np.ndarray, i):
     return compatible(n, n[i]) & (7 * np.minimum(left, left[i]) >= 3 * (n + n[i]))
 
 
-def propose(cls: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, few: int, k: int) -> tuple[np.ndarray, bool]:
+def propose(cls: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray, few: int, k: int, sig: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Pairs of positions of a group's members in different components to compare next, and whether they are all there are."""
     names, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
     largest = inverse == counts.argmax()
@@ -197,6 +206,8 @@ def propose(cls: np.ndarray, n: np.ndarray, place: np.ndarray, root: np.ndarray,
     out = [np.empty((0, 2), np.int64)]
     for i in lead:
         some = np.flatnonzero((inverse != inverse[i]) & reachable(n, place, i))
+        if sig is not None:  # linked sets differ in a seventh of the sum of their sizes at most
+            some = some[7 * np.bitwise_count(sig[some] ^ sig[i]).sum(1, np.int64) <= n[some].astype(np.int64) + n[i]]
         out.append(np.stack([np.minimum(some, i), np.maximum(some, i)], 1))
     return np.concatenate(out), complete
 
@@ -435,7 +446,7 @@ def candidate_sets(base: DataFrame, reps: DataFrame, levels, bits: int) -> DataF
     return base.mapInArrow(run, "cls long, codes binary")
 
 
-def remaining_pairs(groups: DataFrame, roots: DataFrame, n_groups: int, k: int) -> DataFrame:
+def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame, n_groups: int, k: int) -> DataFrame:
     """The next pairs (a, b) of groups with several components; a row of nulls if there will be more."""
     buckets = buckets_for(n_groups, 8, 24, 4096)
 
@@ -448,22 +459,23 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, n_groups: int, k: int)
     members = groups.mapInArrow(explode, "token long, cls long, n int, place int")
     members = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     several = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    members = members.join(several, F.col("token") == F.col("t"), "left_semi").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    members = members.join(several, F.col("token") == F.col("t"), "left_semi").join(signatures, F.col("cls") == F.col("c")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
 
     def pairs(table):
         token, cls, n, place, root = (table.column(k).to_numpy() for k in ("token", "cls", "n", "place", "root"))
         order = np.lexsort((cls, token))
         token, cls, n, place, root = token[order], cls[order], n[order], place[order], root[order]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(order), -1)[order]
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         out, more = Pairs(cls), False
         for a, z in zip(cut, np.append(cut[1:], len(token)), strict=True):
-            found, complete = propose(cls[a:z], n[a:z], place[a:z], root[a:z], FEW, k)
+            found, complete = propose(cls[a:z], n[a:z], place[a:z], root[a:z], FEW, k, sig[a:z])
             out.add(cls[a:z][found[:, 0]], cls[a:z][found[:, 1]])
             more |= not complete
         end = pa.nulls(int(more), pa.int64())
         return pa.table({c: pa.concat_arrays([pa.array(x), end]) for c, x in zip("ab", out.columns(), strict=True)})
 
-    dealt = members.select("bucket", "token", "cls", "n", "place", "root").repartition(buckets, "bucket")
+    dealt = members.select("bucket", "token", "cls", "n", "place", "root", "sig").repartition(buckets, "bucket")
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -481,11 +493,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.col("text").cast("binary").alias("t"))
     size = int(base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"])
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 48).bit_length()))
-    first = Stash(base.mapInArrow(lambda batches: first_pass(batches, bits), "doc long, class long, n long, block int, data binary"), "classes").df
+    first = Stash(base.mapInArrow(lambda batches: first_pass(batches, bits), "doc long, class long, n long, sig binary, block int, data binary"), "classes").df
     levels = spark.sparkContext.broadcast(frequency_levels(first.where("block is not null").select("block", "data"), bits))
     rows = first.where("block is null").select("doc", F.col("class").alias("cls"), "n")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
 
+    signatures = first.where("class is not null").groupBy(F.col("class").alias("c")).agg(F.first("sig").alias("sig"))
+
     buckets = buckets_for(size // 24, 300_000, 48)
     prefixes = base.mapInArrow(lambda batches: prefix_rows(batches, levels.value, bits, buckets), "bucket int, token binary, cls binary, n binary, place binary")
     found = Stash(prefixes.groupBy("bucket").applyInArrow(candidate_groups, "a long, b long, token long, cls binary, n binary, place binary"), "candidates")
@@ -507,7 +521,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         n_groups, k = groups.count(), LEADERS
         while n_groups:
             k *= 512
-            more = Stash(remaining_pairs(groups, roots, n_groups, k), "pairs")
+            more = Stash(remaining_pairs(groups, roots, signatures, n_groups, k), "pairs")
             n_more, incomplete = more.df.agg(F.count("a"), F.count(F.when(F.col("a").isNull(), 1))).first()
             if n_more:
                 sets.drop()

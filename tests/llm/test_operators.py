@@ -292,3 +292,21 @@ def test_network_finds_held_out_spans():
 
 def test_reconcile_prefers_the_greatest_total():
     assert pii.reconcile([(0, 10, "card", 3.0), (0, 4, "ip", 2.0), (5, 10, "ip", 2.0), (20, 25, "email", 1.0)]) == [(0, 4, "ip"), (5, 10, "ip"), (20, 25, "email")]
+
+
+def test_candidate_tests_turn_down_no_linked_pair():
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 80)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 62, rng.integers(0, 12)).astype(np.uint64)]))
+        both = np.intersect1d(a, b)
+        if not jaccard.linked(len(both), len(a), len(b)) or not len(b):
+            continue
+        seen += 1
+        n, place = np.array([len(a), len(b)], np.int32), np.array([np.searchsorted(a, both[0]), np.searchsorted(b, both[0])], np.int32)
+        assert max(place[0] - jaccard.prefix_length(len(a)), place[1] - jaccard.prefix_length(len(b))) < 0
+        sig = np.stack([np.frombuffer(jaccard.signature(x), np.uint64) for x in (a, b)])
+        found, complete = jaccard.propose(np.array([1, 2]), n, place, np.array([1, 2]), jaccard.FEW, jaccard.LEADERS, sig)
+        assert complete and [0, 1] in found.tolist()
+    assert seen > 500
