@@ -4,7 +4,9 @@ Five statistics of every text are transformed to a vector. For each language and
 minimum covariance determinant is estimated over the documents that pass the base rules:
 from two deterministic starts, concentration steps take mean and covariance of the three quarters
 of the documents nearest so far; the start with the smaller determinant gives the estimate. A
-document far from its group's estimate, by Mahalanobis distance, is rejected.
+document far from its group's estimate, by Mahalanobis distance, is rejected. The distance adds to
+the group's covariance the error with which a text of that length tells each statistic, so what a
+short text may show by chance counts less than the same share in a long one.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ SUPPORT, STEPS, LEAST_GROUP = 0.75, 2, 40
 CONSISTENCY = 1.41
 #: Chi-square with 5 degrees of freedom at 1 - 1e-6; distances beyond it are outliers.
 CUTOFF = 37.33
-#: The least standard deviation that a statistic's transform is given in any group: what differs less is not told apart.
-FLOORS = (0.25, 0.1, 0.08, 0.25, 0.25)
+#: The least standard deviation of each transform in a group, for numerical stability: about one word in the shortest text that passes.
+FLOORS = (0.02, 0.02, 0.02, 0.02, 0.02)
+#: Words that the smallest repeat covers: two windows of three.
+LEAST_REPEAT = 6
 P = len(FLOORS)
 GROUP = ("lang", "source")
 MEANS, COVS = [f"m{j}" for j in range(P)], [f"c{j}{k}" for j in range(P) for k in range(j + 1)]
@@ -76,6 +80,12 @@ def vector() -> list[Column]:
     ]
 
 
+def errors() -> list[Column]:
+    """Variance of measurement of each transform in a text: that of the root of a share of n is 1 / 4n, by counts of independent events."""
+    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    return [F.lit(0.0), 0.25 / words, 0.25 / chars, 0.25 / F.greatest("n_lines", F.lit(1)), 0.25 * LEAST_REPEAT / words]
+
+
 def same_group() -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in GROUP])
 
@@ -113,7 +123,7 @@ def whitener(groups: DataFrame, tag: str, scale: float) -> DataFrame:
 
 
 def estimate_columns(tag: str) -> list[str]:
-    return [f"{tag}m{j}" for j in range(P)] + [f"{tag}a{j}{k}" for j in range(P) for k in range(j + 1)] + [f"{tag}det"]
+    return [f"{tag}m{j}" for j in range(P)] + [f"{tag}{x}{j}{k}" for x in "as" for j in range(P) for k in range(j + 1)] + [f"{tag}det"]
 
 
 def distance(tag: str) -> Column:
@@ -122,6 +132,19 @@ def distance(tag: str) -> Column:
     return reduce(add, [x * x for x in z])
 
 
+def with_distance(rows: DataFrame, tag: str) -> DataFrame:
+    """rows with distance: the squared Mahalanobis distance of x under an estimate's covariance and the text's own errors."""
+    own = errors()
+    for j in range(P):
+        for k in range(j + 1):
+            rest = F.col(f"{tag}s{j}{k}") - reduce(add, [F.col(f"l{j}{i}") * F.col(f"l{k}{i}") for i in range(k)], F.lit(0.0))
+            value = F.sqrt(F.greatest(rest + own[j], F.lit(FLOORS[j] ** 2))) if j == k else rest / F.col(f"l{k}{k}")
+            rows = rows.withColumn(f"l{j}{k}", value)
+        off = F.col(f"x{j}") - F.col(f"{tag}m{j}") - reduce(add, [F.col(f"l{j}{i}") * F.col(f"z{i}") for i in range(j)], F.lit(0.0))
+        rows = rows.withColumn(f"z{j}", off / F.col(f"l{j}{j}"))
+    return rows.withColumn("distance", reduce(add, [F.col(f"z{j}") ** 2 for j in range(P)]))
+
+
 def starts(rows: DataFrame) -> DataFrame:
     """Two diagonal starts for each group: spread by median deviation (u), and by the interquartile range (v)."""
     middle = grouped(rows).agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(f"x{j}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{j}") for j in range(P)])
@@ -133,6 +156,7 @@ def starts(rows: DataFrame) -> DataFrame:
     for tag, width in (("u", lambda j: 1.4826 * F.col(f"d{j}")), ("v", lambda j: (F.col(f"q{j}")[2] - F.col(f"q{j}")[0]) / 1.349)):
         columns += [F.col(f"q{j}")[1].alias(f"{tag}m{j}") for j in range(P)]
         columns += [(1 / F.sqrt(width(j) ** 2 + FLOORS[j] ** 2) if j == k else F.lit(0.0)).alias(f"{tag}a{j}{k}") for j in range(P) for k in range(j + 1)]
+        columns += [F.lit(0.0).alias(f"{tag}s{j}{k}") for j in range(P) for k in range(j + 1)]
         columns.append(F.lit(0.0).alias(f"{tag}det"))
     return out.select(*columns)
 
@@ -157,7 +181,8 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    kept is false if base_failed, else whether the squared distance is at most CUTOFF; groups with
+    kept is false if base_failed, else whether the squared distance is at most CUTOFF; any statistic
+    can exceed it alone, where a text is long enough to tell it so well; groups with
     fewer than LEAST_GROUP documents that pass the base rules have no estimate and keep those
     (distance null). A null text has no words and fails; null lang and source form groups of their
     own; repeated rows count as often as they stand; an empty table gives no rows. Other columns are not read.
@@ -165,7 +190,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = Stash(statistics(docs).select("*", *[x.alias(f"x{j}") for j, x in enumerate(vector())]), "statistics").df
     fitted = estimates(rows.where(~F.col("base_failed")).select(*GROUP, *[f"x{j}" for j in range(P)]))
     fitted = fitted.where(F.col("size") >= LEAST_GROUP)
-    far = rows.join(fitted, same_group(), "left")
-    far = far.withColumn("distance", F.when(~F.col("base_failed"), distance("e")))
+    far = with_distance(rows.join(fitted, same_group(), "left"), "e")
+    far = far.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -193,6 +193,19 @@ def test_outliers_are_rejected(spark):
     assert not any(kept[k] for k in range(120, 126)) and sum(kept[k] for k in range(120)) >= 118
 
 
+def test_repetition_alone_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    plain = lambda n: "\n".join(sentence(rng, 10, 5000) for _ in range(n))
+    texts = [plain(40) for _ in range(120)]
+    for _ in range(4):
+        own = plain(34).split("\n")
+        texts.append("\n".join(own[:28] + own[28:] * 2))
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in rules.judge(docs).collect()}
+    assert not any(found[k]["base_failed"] or found[k]["kept"] for k in range(120, 124))
+    assert sum(found[k]["kept"] for k in range(120)) >= 118
+
+
 def test_classifier_learns(spark):
     rng = np.random.default_rng(0)
     good, bad = [sentence(rng, 50, 900) for _ in range(150)], [sentence(rng, 50, 900).replace(" ", "%% ") for _ in range(150)]
