@@ -1,10 +1,11 @@
 """Quality rules and robust multivariate outliers, with DataFrame operations alone.
 
-Five statistics of every text are transformed to a vector. For each language and source the
-minimum covariance determinant is estimated over the documents that pass the base rules:
+Five statistics of every text are transformed to a vector. For each language and source, each
+language and the whole table the minimum covariance determinant is estimated over the documents that pass the base rules:
 from two deterministic starts, concentration steps take mean and covariance of the three quarters
 of the documents nearest so far; the start with the smaller determinant gives the estimate. A
-document far from its group's estimate, by Mahalanobis distance, is rejected. The distance adds to
+document far from its group's estimate, by Mahalanobis distance, is rejected; if the group is small,
+the estimate of its language judges, and if that is small too, the one of the whole table. The distance adds to
 the group's covariance the error with which a text of that length tells each statistic, so what a
 short text may show by chance counts less than the same share in a long one.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Stash
 
 MIN_WORDS = 50
-#: Share of a group that an estimate covers, steps, and the smallest group that gets an estimate.
+#: Share of a group that an estimate covers, steps, and the smallest group that is judged by its own estimate.
 SUPPORT, STEPS, LEAST_GROUP = 0.75, 2, 40
 #: Scale that makes the covariance of the nearest 75 % of a 5-dimensional normal sample that of the whole.
 CONSISTENCY = 1.41
@@ -31,7 +32,9 @@ FLOORS = (0.02, 0.02, 0.02, 0.02, 0.02)
 #: Words that the smallest repeat covers: two windows of three.
 LEAST_REPEAT = 6
 P = len(FLOORS)
-GROUP = ("lang", "source")
+#: Groups of three levels: language and source (0), language (1), the whole table (2); the coarser leave the finer columns null.
+GROUP = ("level", "lang", "source")
+KEYS = [f"g_{c}" for c in GROUP]
 MEANS, COVS = [f"m{j}" for j in range(P)], [f"c{j}{k}" for j in range(P) for k in range(j + 1)]
 
 
@@ -90,10 +93,23 @@ def same_group() -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in GROUP])
 
 
+def leveled(rows: DataFrame) -> DataFrame:
+    """rows once for each level of groups they belong to."""
+    at = lambda c, last: F.when(F.col("level") <= last, F.col(c)).alias(c)
+    rows = rows.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return rows.select("level", at("lang", 1), at("source", 0), *[f"x{j}" for j in range(P)])
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*[F.col(c).alias(f"g_{c}") for c in GROUP])
 
 
+def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a and b of the same groups, side by side."""
+    b = b.withColumnsRenamed({c: f"o_{c}" for c in KEYS})
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in KEYS])).drop(*[f"o_{c}" for c in KEYS])
+
+
 def moments(rows: DataFrame, weight: str, tag: str) -> list[Column]:
     """Aggregates for mean and covariance of the rows where weight holds."""
     on = lambda x: F.avg(F.when(F.col(weight), x))
@@ -119,7 +135,7 @@ def whitener(groups: DataFrame, tag: str, scale: float) -> DataFrame:
                 value = -reduce(add, [F.col(f"{tag}l{j}{i}") * F.col(f"{tag}a{i}{k}") for i in range(k, j)]) / F.col(f"{tag}l{j}{j}")
             out = out.withColumn(f"{tag}a{j}{k}", value)
     out = out.withColumn(f"{tag}det", reduce(add, [F.log(F.col(f"{tag}l{j}{j}")) for j in range(P)]))
-    return out.select("g_lang", "g_source", "size", *estimate_columns(tag))
+    return out.select(*KEYS, "size", *estimate_columns(tag))
 
 
 def estimate_columns(tag: str) -> list[str]:
@@ -151,8 +167,8 @@ def starts(rows: DataFrame) -> DataFrame:
     middle = Stash(middle, "mcd").df
     near = rows.join(middle, same_group())
     spread = grouped(near).agg(*[F.percentile_approx(F.abs(F.col(f"x{j}") - F.col(f"q{j}")[1]), 0.5, 1000).alias(f"d{j}") for j in range(P)])
-    out = middle.join(spread.select(F.col("g_lang").alias("l"), F.col("g_source").alias("s"), *[f"d{j}" for j in range(P)]), F.col("g_lang").eqNullSafe(F.col("l")) & F.col("g_source").eqNullSafe(F.col("s")))
-    columns = ["g_lang", "g_source", "size"]
+    out = joined(middle, spread)
+    columns = [*KEYS, "size"]
     for tag, width in (("u", lambda j: 1.4826 * F.col(f"d{j}")), ("v", lambda j: (F.col(f"q{j}")[2] - F.col(f"q{j}")[0]) / 1.349)):
         columns += [F.col(f"q{j}")[1].alias(f"{tag}m{j}") for j in range(P)]
         columns += [(1 / F.sqrt(width(j) ** 2 + FLOORS[j] ** 2) if j == k else F.lit(0.0)).alias(f"{tag}a{j}{k}") for j in range(P) for k in range(j + 1)]
@@ -162,7 +178,7 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(g_lang, g_source, size, em*, ea*): the estimate of every group; rows hold lang, source and x0..x4."""
+    """(g_level, g_lang, g_source, size, em*, ea*, es*): the estimate of every group; rows hold level, lang, source and x0..x4."""
     now = Stash(starts(rows), "mcd").df
     for _ in range(STEPS):
         near = rows.join(now, same_group()).select(*GROUP, "size", *[f"x{j}" for j in range(P)], distance("u").alias("du"), distance("v").alias("dv"))
@@ -172,25 +188,35 @@ def estimates(rows: DataFrame) -> DataFrame:
         found = grouped(near).agg(F.count(F.lit(1)).alias("size"), *moments(near, "inu", "u"), *moments(near, "inv", "v"))
         found = Stash(found, "mcd").df
         both = whitener(found, "u", CONSISTENCY)
-        other = whitener(found, "v", CONSISTENCY).drop("size").withColumnsRenamed({"g_lang": "l", "g_source": "s"})
-        now = Stash(both.join(other, F.col("g_lang").eqNullSafe(F.col("l")) & F.col("g_source").eqNullSafe(F.col("s"))).drop("l", "s"), "mcd").df
+        now = Stash(joined(both, whitener(found, "v", CONSISTENCY).drop("size")), "mcd").df
     better = F.col("udet") <= F.col("vdet")
-    return now.select("g_lang", "g_source", "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")])
+    return now.select(*KEYS, "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")])
+
+
+def with_estimate(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """rows with the columns of the finest estimate over LEAST_GROUP documents or more, else those of the whole table."""
+    names = estimate_columns("e")
+    for level in range(3):
+        some = fitted.where(f"g_level = {level}" + f" and size >= {LEAST_GROUP}" * (level < 2))
+        some = some.select(*[F.col(f"g_{c}").alias(f"k_{c}") for c in GROUP[1 : 3 - level]], F.struct(*names).alias(f"e_{level}"))
+        on = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in GROUP[1 : 3 - level]]
+        some = some if level == 0 else F.broadcast(some)
+        rows = rows.join(some, reduce(lambda a, b: a & b, on, F.lit(True)), "left").drop("k_lang", "k_source")
+    return rows.withColumn("e", F.coalesce("e_0", "e_1", "e_2")).select("*", "e.*").drop("e", "e_0", "e_1", "e_2")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     kept is false if base_failed, else whether the squared distance is at most CUTOFF; any statistic
-    can exceed it alone, where a text is long enough to tell it so well; groups with
-    fewer than LEAST_GROUP documents that pass the base rules have no estimate and keep those
-    (distance null). A null text has no words and fails; null lang and source form groups of their
-    own; repeated rows count as often as they stand; an empty table gives no rows. Other columns are not read.
+    can exceed it alone, where a text is long enough to tell it so well. Where fewer than LEAST_GROUP
+    documents of a group pass the base rules, those are judged by the estimate of their language, or of
+    the whole table, which judges whatever its size. Where base_failed, distance is null. A null
+    text has no words and fails; null lang and source form groups of their own; repeated rows count as often as they stand; an empty table gives no rows. Other columns are not read.
     """
     rows = Stash(statistics(docs).select("*", *[x.alias(f"x{j}") for j, x in enumerate(vector())]), "statistics").df
-    fitted = estimates(rows.where(~F.col("base_failed")).select(*GROUP, *[f"x{j}" for j in range(P)]))
-    fitted = fitted.where(F.col("size") >= LEAST_GROUP)
-    far = with_distance(rows.join(fitted, same_group(), "left"), "e")
+    fitted = estimates(Stash(leveled(rows.where(~F.col("base_failed"))), "levels").df)
+    far = with_distance(with_estimate(rows, fitted), "e")
     far = far.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUTOFF)
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

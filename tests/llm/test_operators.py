@@ -206,6 +206,14 @@ def test_repetition_alone_is_rejected(spark):
     assert sum(found[k]["kept"] for k in range(120)) >= 118
 
 
+def test_small_groups_are_judged(spark):
+    rng = np.random.default_rng(4)
+    texts = [sentence(rng, 200, 5000) for _ in range(60)] + [re.sub(" ", "### ", sentence(rng, 200, 5000)) for _ in range(4)]
+    rows = [(k, t, ["en", "de"][k % 8 == 0], f"s{k % 16}") for k, t in enumerate(texts)]
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept[k] for k in range(60, 64)) and sum(kept[k] for k in range(60)) >= 58
+
+
 def test_classifier_learns(spark):
     rng = np.random.default_rng(0)
     good, bad = [sentence(rng, 50, 900) for _ in range(150)], [sentence(rng, 50, 900).replace(" ", "%% ") for _ in range(150)]
