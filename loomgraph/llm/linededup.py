@@ -6,6 +6,7 @@ each line is indexed by (length, segment), and probes with the substrings that c
 segments, as one of equal length does, and those of lines shorter by one. Where many lines meet, the
 segment that may differ is split again, until few meet. Candidates are verified by edit distance in a
 band of 2 * EDITS + 1 diagonals whose column of differences is one machine word, updated by bit operations.
+Lines too short for an edit to mean little are repeats where they are equal: their hashes group them, without pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Stash
 
-#: Edit threshold, and the shortest line (code points) that is judged; shorter ones always stay.
+#: Edit threshold, and the shortest line (code points) that it holds for; shorter ones are judged by equality, or not at all.
 EDITS, LEAST_CHARS = 1, 20
 #: Keys at which more pairs than GROUP would meet are replaced by finer ones: PARTS of what they leave out.
 GROUP, PARTS = 256, 8
@@ -132,10 +133,10 @@ def within(a: str, b: str, tau: int = EDITS) -> Column:
     return (F.abs(size_a - size_b) <= tau) & (done["dist"] <= tau)
 
 
-def judged_lines(docs: DataFrame) -> DataFrame:
+def judged_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc, key, pos, line, h1, h2, n) of every judged line."""
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    base = base.withColumn("n", F.char_length("line")).where((F.col("n") >= LEAST_CHARS) & F.col("line").rlike(f"[^{SPACE[1:-1]}]"))
+    base = base.withColumn("n", F.char_length("line")).where(is_judged(F.col("line"), short))
     return base.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
 
 
@@ -176,12 +177,14 @@ def mapped(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return some.where(byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0).drop("place", "word", "bitmap")
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc, key, kept array<int>): positions of the judged lines of each document that stay."""
     first = F.min(F.struct("doc", "key", "pos")).alias("first")
-    classes = Stash(judged_lines(docs).groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("n").alias("n")), "lines").df
-    pairs = Stash(candidate_pairs(classes), "line-pairs")
-    near = mapped(classes, "h1", hash_map(pairs.df.select(F.explode(F.array("a", "b")).alias("h")))).select("h1", "h2", "first", F.split("line", "").alias("chars"))
+    classes = Stash(judged_lines(docs, short).groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("n").alias("n")), "lines").df
+    # lines under LEAST_CHARS are repeats by their class alone
+    long = classes.where(F.col("n") >= LEAST_CHARS)
+    pairs = Stash(candidate_pairs(long), "line-pairs")
+    near = mapped(long, "h1", hash_map(pairs.df.select(F.explode(F.array("a", "b")).alias("h")))).select("h1", "h2", "first", F.split("line", "").alias("chars"))
     left, right = (near.select(*[F.col(c).alias(f"{c}_{s}") for c in near.columns]) for s in "ab")
     both = pairs.df.join(left, F.col("a") == F.col("h1_a")).join(right, F.col("b") == F.col("h1_b"))
     linked = with_ordered(both, "chars_a", "chars_b").where(within("long", "short"))
@@ -196,40 +199,43 @@ def positions(line_test) -> Column:
     return F.filter(F.transform("__lines", lambda x, i: F.when(line_test(x), i)), lambda i: i.isNotNull())
 
 
-def is_judged(line: Column) -> Column:
-    return (F.char_length(line) >= LEAST_CHARS) & line.rlike(f"[^{SPACE[1:-1]}]")
+def is_judged(line: Column, short: bool = False) -> Column:
+    """Whether a line has a word in it and, unless short, LEAST_CHARS characters or more."""
+    word = line.rlike(f"[^{SPACE[1:-1]}]")
+    return word if short else (F.char_length(line) >= LEAST_CHARS) & word
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
+def line_verdicts(docs: DataFrame, short: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined).
 
     Lines are split at U+000A. A line of LEAST_CHARS characters or more with a word in it is
     removed if it is within EDITS edits (insert, delete, replace a code point) of a line that stands
-    earlier: in a document of smaller doc_id, or earlier in the same one. Lines are judged on the
+    earlier: in a document of smaller doc_id, or earlier in the same one. With `short`, a shorter line
+    with a word in it is removed if an equal one stands earlier; without, it stays. Lines are judged on the
     input, so a line may fall to an earlier one that falls itself. A null doc_id is larger than all
     others. Rows that share a doc_id are ordered by their text's hash; equal rows count as one row
     and get equal results. A null text has no lines. An empty table gives no rows. Other columns
     are not read. The texts themselves are not shuffled for this result.
     """
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("key"), F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")).alias("__lines"))
-    base = base.select("doc_id", "doc", "key", F.size("__lines").cast("long").alias("n_lines"), positions(is_judged).alias("judged"))
-    kept = kept_lines(docs).select(F.col("doc").alias("d"), F.col("key").alias("k"), "kept")
+    base = base.select("doc_id", "doc", "key", F.size("__lines").cast("long").alias("n_lines"), positions(lambda x: is_judged(x, short)).alias("judged"))
+    kept = kept_lines(docs, short).select(F.col("doc").alias("d"), F.col("key").alias("k"), "kept")
     out = base.join(kept, (F.col("doc") == F.col("d")) & (F.col("key") == F.col("k")), "left")
     out = out.withColumn("gone", F.when(F.col("kept").isNull(), F.col("judged")).otherwise(F.array_except("judged", "kept")))
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.concat_ws(",", F.col("gone").cast("array<string>")).alias("removed"))
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with the same columns, their texts without the removed lines, documents left without a word dropped.
 
-    A document that had no word before stays as it is. n_chars, if there, is the new length.
+    A document that had no word before stays as it is. n_chars, if there, is the new length; `short` as in line_verdicts.
     """
     # columns are packed, so that none of theirs can clash with what is added
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("k"), "text")
-    kept = kept_lines(docs).hint("shuffle_hash")
+    kept = kept_lines(docs, short).hint("shuffle_hash")
     out = row.join(kept, (F.col("d") == F.col("doc")) & (F.col("k") == F.col("key")), "left").withColumn("__lines", F.split("text", "\n"))
-    short = positions(lambda x: ~is_judged(x))
-    stay = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), short))
+    others = positions(lambda x: ~is_judged(x, short))
+    stay = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), others))
     out = out.withColumn("stay", stay).withColumn("left", F.array_join(F.transform("stay", lambda i: F.get("__lines", i)), "\n"))
     word = f"[^{SPACE[1:-1]}]"
     out = out.where(F.col("text").isNull() | F.col("left").rlike(word) | ~F.col("text").rlike(word))

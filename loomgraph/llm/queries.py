@@ -42,7 +42,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_verdicts(read(spark, sf_dir, "documents"))
+    return linededup.line_verdicts(read(spark, sf_dir, "documents"), short=True)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

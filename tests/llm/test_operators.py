@@ -248,6 +248,21 @@ def test_line_dedup(docs, rows):
     assert kept.where("doc_id = 0 and text is null").count() == 1
 
 
+def test_short_lines(spark):
+    rows = [(1, "Les.\nOne.\n \nLes."), (2, "Les.\n\nOnes.\nOne"), (2, "Les.\n\nOnes.\nOne"), (3, "One.\n \n" + "x" * 19), (4, "x" * 20 + "\n" + "x" * 19), (5, None), (6, "Les.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collect(linededup.line_verdicts(docs, short=True), "doc_id", "removed") == [(1, "3"), (2, "0"), (2, "0"), (3, "0"), (4, "1"), (5, ""), (6, "0")]
+    left = dict(collect(linededup.remove_lines(docs, short=True)))
+    assert left == {1: "Les.\nOne.\n ", 2: "\nOnes.\nOne", 3: " \n" + "x" * 19, 4: "x" * 20, 5: None}
+
+
+def test_short_lines_in_query(spark, tmp_path):
+    from loomgraph.llm.queries import op8_line_dedup
+
+    spark.createDataFrame([(1, "Les."), (2, "Les.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert collect(op8_line_dedup(spark, str(tmp_path)), "doc_id", "removed") == [(1, ""), (2, "0")]
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_banded_distance(spark, tau):
     rng = np.random.default_rng(tau)
