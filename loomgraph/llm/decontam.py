@@ -35,18 +35,18 @@ def item_windows(words: list[bytes], n: int = WINDOW) -> set[bytes]:
 
 
 def window_table(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(item_id string, win binary) of every distinct window of every item."""
+    """(item_id string, win binary) of every distinct window of every item; an item may have no id."""
 
     def run(batches):
         for b in batches:
             rows = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in sorted(item_windows(normal_words(t), n))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["item_id", "win"])
 
-    some = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("t")).where("item_id is not null")
+    some = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("t"))
     return some.mapInArrow(run, "item_id string, win binary").distinct()
 
 
-def automaton(windows: list[tuple[bytes, tuple[str, ...]]]) -> ahocorasick.Automaton:
+def automaton(windows: list[tuple[bytes, tuple[str | None, ...]]]) -> ahocorasick.Automaton:
     """Windows between spaces, one character for each byte, valued (number of words, item ids)."""
     a = ahocorasick.Automaton()
     for w, items in windows:
@@ -55,7 +55,7 @@ def automaton(windows: list[tuple[bytes, tuple[str, ...]]]) -> ahocorasick.Autom
     return a
 
 
-def scan(words: list[bytes], a: ahocorasick.Automaton, hit: np.ndarray, items: set[str]) -> None:
+def scan(words: list[bytes], a: ahocorasick.Automaton, hit: np.ndarray, items: set[str | None]) -> None:
     """Mark the words inside any window that occurs, and collect the items it belongs to."""
     if not words or not len(a):
         return
@@ -85,12 +85,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep:
     `keep` names columns of docs to carry through (`contaminated` then tells which rows to drop);
     `spans` adds the contaminated ranges of the original text as array<array<long>>.
     A null or wordless text has no words and no hits and is clean; so is everything when the
-    benchmark is empty or holds null texts only. Items with a null id are not used; items that
-    repeat an id count once. Rows of docs are judged alone, so repeated rows get equal results.
+    benchmark is empty or holds null texts only. Items that repeat an id count once,
+    and so do all those with a null id, which items_sha256 leaves out. Rows of docs are judged alone, so repeated rows get equal results.
     The benchmark is read in automata of at most AUTOMATON_CHARS characters, so what is broadcast
     is bounded whatever its size.
     """
-    table = window_table(benchmark, n).groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).orderBy("win")
+    table = window_table(benchmark, n).groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max(F.col("item_id").isNull()).alias("unnamed")).orderBy("win")
     parts: list[list] = [[]]
     room = AUTOMATON_CHARS
     for r in table.toLocalIterator():
@@ -98,7 +98,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep:
         if room < 0 and parts[-1]:
             parts.append([])
             room = AUTOMATON_CHARS - len(r["win"])
-        parts[-1].append((bytes(r["win"]), tuple(r["ids"])))
+        parts[-1].append((bytes(r["win"]), (*r["ids"], *[None] * r["unnamed"])))
     shared = [docs.sparkSession.sparkContext.broadcast(p) for p in parts]
     kept = [c for c in keep if c != "doc_id"]
 
@@ -109,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep:
             texts = b.column(1).to_pylist()
             words = [normal_words(t) for t in texts]
             hits = [np.zeros(len(w), bool) for w in words]
-            items: list[set[str]] = [set() for _ in words]
+            items: list[set[str | None]] = [set() for _ in words]
             for k, part in enumerate(shared):
                 if len(shared) == 1 and not built:
                     built.append(automaton(part.value))
@@ -121,7 +121,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, keep:
                 out["n_words"].append(len(w))
                 out["n_hit"].append(n_hit)
                 out["n_items"].append(len(i))
-                out["items_sha256"].append(hashlib.sha256(",".join(sorted(i)).encode()).hexdigest())
+                out["items_sha256"].append(hashlib.sha256(",".join(sorted(x for x in i if x is not None)).encode()).hexdigest())
                 out["contaminated"].append(n_hit > 0 and 20 * n_hit >= len(w))
                 out["spans"].append([list(x) for x in original_spans(t.decode(), h)] if spans and n_hit else [])
             arrays = [pa.array(out[k], t) for k, t in KINDS.items() if spans or k != "spans"]

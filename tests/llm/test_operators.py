@@ -170,6 +170,14 @@ def test_decontamination(spark, docs, rows):
         assert bool(r["spans"]) == bool(hit)
 
 
+def test_decontamination_by_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "a one two b"), (2, "one two three"), (3, "c d")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "one two"), (None, "two three"), (7, "two three")], "item_id long, text string")
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    found = collect(decontam.decontaminate(docs, benchmark), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert found == [(1, 2, 1, digest(""), True), (2, 3, 2, digest("7"), True), (3, 0, 0, digest(""), False)]
+
+
 def test_quality_statistics(docs, rows):
     expected = []
     for i, t, *_ in rows:
