@@ -83,6 +83,10 @@ GRAPH_QUERIES: dict[str, tuple[str, str]] = {
         "MATCH p = (a:Event)-[rs:NEXT*1..3]->(b) RETURN length(p) AS l, size(rs) AS r, count(*) AS n",
         "WITH c AS (SELECT count(*) k FROM events GROUP BY user_id) SELECT l, l AS r, sum(greatest(k - l, 0))::BIGINT AS n FROM c, (VALUES (1::BIGINT), (2::BIGINT), (3::BIGINT)) v(l) GROUP BY l",
     ),
+    "varlen_unbounded": (
+        "MATCH (u:User) WHERE u.key < 10 MATCH (u)-[:DID]->(a:Event)-[:NEXT*]->(b:Event) RETURN a.key AS a, b.key AS b",
+        "WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id < 10) SELECT x.event_id AS a, y.event_id AS b FROM e x JOIN e y ON x.user_id = y.user_id AND x.r < y.r",
+    ),
     "varlen_zero": ("MATCH (a:Event)-[:NEXT*0..1]->(b:Event) RETURN count(*) AS n", "SELECT 2 * count(*) - count(DISTINCT user_id) AS n FROM events"),
     "agg_basic": (
         "MATCH (o:Order) RETURN o.status AS s, count(*) AS n, count(DISTINCT o.priority) AS p, sum(o.key) AS total, min(o.key) AS lo, max(o.key) AS hi",

@@ -7,6 +7,7 @@ pruning and predicate pushdown reach the scans; a struct is built only where a w
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,6 @@ from ..functions import scalar
 from ..lang.parser import parse
 from ..sources.graph import PropertyGraph
 
-#: Levels of a variable-length pattern without an upper bound; it ends before where no path grows further.
-DEEPEST = 64
-
 
 def col(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -475,16 +473,20 @@ class Plan:
         for k, v in props:
             steps = steps.where(col(k) == self.expr(v))
         steps = steps.select(F.struct(col("type"), col("id")).alias("#step"), col("from").alias("#from"), col("to").alias("#to"), col("id").alias("#rid"))
+        # levels without a bound are held, so that none is walked again for the next one
+        hold = lambda df: df.checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+        if high is None:
+            steps = hold(steps)
         between = f"{var}$between"
         now = self.df.withColumn("#at", col(f"{source}$id")).withColumn("#seen", F.array().cast("array<struct<type:string,id:bigint>>"))
         now = now.withColumn(var, F.array().cast("array<bigint>")).withColumn("#nodes", F.array().cast("array<bigint>"))
         levels = [now] if low == 0 else []
-        for level in range(1, (high if high is not None else DEEPEST) + 1):
+        for level in range(1, high + 1) if high is not None else count(1):
             now = now.join(steps, (col("#at") == col("#from")) & ~F.array_contains(col("#seen"), col("#step")))
             now = now.withColumn("#at", col("#to")).withColumn("#seen", F.array_append(col("#seen"), col("#step"))).withColumn(var, F.array_append(col(var), col("#rid"))).withColumn("#nodes", F.array_append(col("#nodes"), col("#to")))
             now = now.drop("#step", "#from", "#to", "#rid")
             if high is None:
-                now = now.checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else now
+                now = hold(now)
                 if now.isEmpty():
                     break
             if level >= low:

@@ -44,6 +44,13 @@ def test_query(spark, social, query, expected):
     assert [r["x"] for r in cypher(social, query, spark, {"who": "Bob"}).collect()] == expected
 
 
+def test_unbounded_path_walks_to_the_end(spark):
+    nodes = spark.range(1, 71).selectExpr("id", "id AS key")
+    steps = spark.range(1, 70).selectExpr("id", "id AS start", "id + 1 AS end").coalesce(1)
+    chain = PropertyGraph({"Event": nodes}, {"NEXT": (steps, "Event", "Event")})
+    assert [r["x"] for r in cypher(chain, "MATCH (a:Event {key: 1})-[:NEXT*]->(b) RETURN count(*) AS x", spark).collect()] == [69]
+
+
 @pytest.mark.parametrize(
     ("query", "kind"),
     [
