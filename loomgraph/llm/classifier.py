@@ -135,23 +135,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the max_train learnable labelled documents whose ids hash lowest.
 
-    Null labels and ids are not used; where labels repeat a doc_id, their mean decides. Neither
-    lang, source nor doc_id is an input of the model.
+    Null labels and ids are not used; where labels repeat a doc_id, their mean decides; where docs
+    repeat one, the text of smallest hash is learnt from. Neither lang, source nor doc_id
+    is an input of the model.
     """
     learn = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg((F.avg("quality") >= 0.5).cast("int").alias("__y"))
     learn = learn.where(~held_out("__id")).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     some = docs.select("doc_id", F.col("text").cast("binary").alias("__t")).join(F.broadcast(learn), F.col("doc_id") == F.col("__id"))
+    # the ids of learn, not those of docs, bound what reaches the driver
+    one = some.groupBy(F.col("__id").alias("doc_id")).agg(F.min(F.struct(F.xxhash64("__t").alias("h"), "__t")).alias("first"), F.first("__y").alias("y"))
+    some = one.select("doc_id", "first.__t", "y")
 
     def run(batches):
         for b in small(batches):
             found = [document_features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(3), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())],
+                [b.column(0), b.column(2), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())],
                 ["doc_id", "y", "ids", "weights"],
             )
 
     rows = some.mapInArrow(run, f"doc_id {some.schema[0].dataType.simpleString()}, y int, ids binary, weights binary")
-    rows = sorted((r for r in rows.toLocalIterator()), key=lambda r: (r["doc_id"], bytes(r["ids"])))[: 2 * max_train]
+    rows = sorted((r for r in rows.toLocalIterator()), key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows ])
 
 

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with nulls, ties, long and repeated texts."""
 
+import binascii
 import hashlib
 import re
 from collections import Counter
@@ -232,6 +233,14 @@ def test_classifier_learns(spark):
     assert found.score.between(0, 1).all()
 
 
+def test_classifier_learns_beside_a_repeated_id(spark):
+    ids = [k for k in range(30) if binascii.crc32(str(k).encode()) % 5][:10]
+    text = lambda k: f"good text {k}" if k % 2 else f"%% bad %% {k}"
+    docs = spark.createDataFrame([(k, text(k)) for k in ids] + [(ids[0], text(ids[0]))] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    assert np.abs(classifier.train(docs, labels, 20).fold).max() > 0
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
