@@ -1,7 +1,8 @@
 """Training-data operators: cleaning, deduplication, scoring and mixing of text corpora.
 
 Nothing else in the package imports this one. Functions that run on executors are pickled by
-value, so executors need PySpark, numpy and pyarrow but not this repository on their path.
+value, so executors need PySpark, numpy, pyarrow, xxhash and, for decontamination, ahocorasick,
+but not this repository on their path.
 """
 
 import sys

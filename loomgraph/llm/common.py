@@ -6,7 +6,6 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +27,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this session only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset a temporary one, on a local master only.
+
+    On several machines a temporary folder would be another one on each, and rows would be lost.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     if context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
     return context.getCheckpointDir()
 
@@ -73,7 +77,7 @@ def word_count(text: str | Column) -> Column:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finaliser of SplitMix: spreads every input bit over the whole word."""
+    """The 64-bit finaliser of SplitMix64 (Steele, Lea, Flood 2014; constants fixed there): spreads every input bit over the whole word."""
     x = x.astype(np.uint64, copy=True)
     x ^= x >> U64(30)
     x *= U64(0xBF58476D1CE4E5B9)
@@ -90,7 +94,6 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
-@lru_cache(maxsize=64)
 def multipliers(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
@@ -125,7 +128,48 @@ def small(batches, limit: int = 4_000_000):
 # --- merged partition sketches ------------------------------------------------------------------
 
 
-def merge_blocks(parts: DataFrame, merge: Callable[[Iterable[np.ndarray]], np.ndarray], dtype: str) -> dict[int, bytes]:
+def packed(values: np.ndarray) -> bytes:
+    """Ascending uint32 values as their differences, byte plane by byte plane, compressed: about a byte for each of a dense list."""
+    steps = np.diff(values.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def plain(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint32)
+
+
+def cell_blocks(cells: np.ndarray, bits: int, blocks: int) -> Iterable[tuple[int, bytes]]:
+    """(block, packed offset * 2 + (two or more)) of the cells met, of 2**bits cells in equal blocks."""
+    width = (1 << bits) // blocks
+    cells, counts = np.unique(cells, return_counts=True)
+    code = ((cells % width) * 2 + (counts > 1)).astype(np.uint32)
+    cuts = np.searchsorted(cells, np.arange(blocks + 1) * width)
+    return [(k, packed(code[cuts[k] : cuts[k + 1]])) for k in range(blocks) if cuts[k + 1] > cuts[k]]
+
+
+def merged_bits(width: int) -> Callable[[Iterable[np.ndarray]], np.ndarray]:
+    """Merges what cell_blocks made of a block of width cells: one bit a cell, two or more."""
+
+    def merge(parts) -> np.ndarray:
+        count = np.zeros(width, np.uint8)
+        for code in parts:
+            at = code >> 1
+            count[at] = np.minimum(count[at] + 1 + (code & 1), 2)
+        return np.packbits(count > 1)
+
+    return merge
+
+
+def bit_at(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def merge_blocks(parts: DataFrame, merge: Callable[[Iterable[np.ndarray]], np.ndarray], decode: Callable[[bytes], np.ndarray] = unpacked) -> dict[int, bytes]:
     """Merge compressed blocks (block int, data binary) of partition sketches.
 
     The blocks of a sketch are merged in parallel, one task for each; what reaches the driver is
@@ -133,7 +177,7 @@ def merge_blocks(parts: DataFrame, merge: Callable[[Iterable[np.ndarray]], np.nd
     """
 
     def run(key, table):
-        decoded = (np.frombuffer(zlib.decompress(x.as_py()), dtype) for x in table.column("data"))
+        decoded = (decode(x.as_py()) for x in table.column("data"))
         merged = zlib.compress(merge(decoded).tobytes(), 1)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([merged], pa.binary())})
 

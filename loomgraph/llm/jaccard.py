@@ -1,11 +1,14 @@
 """Exact Jaccard join of documents' word n-gram sets, by prefix trees.
 
-Every set is put in one global order of its n-grams: by frequency, estimated over the whole corpus
-by a merged counting sketch of fixed size, then by hash. Equal sets are one class, handled once.
-Two sets that reach the similarity share an n-gram among the first |x| - ceil(t |x|) + 1 of each,
-so classes that share such an n-gram are the candidates, if at the first n-gram they share what is left of
-both sets can still hold the overlap. Where they meet at a later n-gram the same test may only turn
-down pairs that the first one has proposed already.
+Every set is put in one global order of its n-grams: those that merged partition sketches show to
+stand in one document alone come first, the others by their frequency, estimated by a small counting
+sketch, then by hash. Equal sets are one class, handled once. Two sets that reach the similarity share
+an n-gram among the first |x| - ceil(t |x|) + 1 of each, so classes that share such an n-gram are
+the candidates, if at the first n-gram they share what is left of both sets can still hold the
+overlap. Where they meet at a later n-gram the same test may only turn down pairs that the first one
+has proposed already. The sketches never call a repeated n-gram single, so n-grams that they call single need
+not be sent: most texts send nothing. Pairs whose parity signatures differ in more bits than linked sets may in
+n-grams are turned down before any set is fetched.
 
 Candidates are verified in tries: the sets to be compared with one query set are stored in global
 order, so that sets with equal beginnings share a path; overlaps with the query are carried down the
@@ -13,8 +16,7 @@ path once, and a subtree is left as soon as what remains of the query cannot rea
 
 A small group of candidates compares all its members. A large one would make pairs by the square,
 so it first compares members with a few leaders of about their size, which joins groups of copies
-into components; only pairs of members whose components still differ are compared after that, and of
-these only such whose parity signatures differ in no more bits than linked sets may in n-grams. No
+into components; only pairs of members whose components still differ are compared after that. No
 pair of linked sets is lost: each is compared, or known to be connected already.
 """
 
@@ -28,20 +30,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Stash, buckets_for, merge_blocks, mix, ngram_hashes, word_hashes
+from .common import U64, Stash, bit_at, buckets_for, cell_blocks, merge_blocks, merged_bits, mix, ngram_hashes, plain, word_hashes
 
 SHINGLE = 5
-#: Cells of the frequency sketch (a power of two within these bounds) and its blocks.
-LEAST_BITS, MOST_BITS, BLOCKS = 14, 24, 32
-#: The top bits of an n-gram's code hold its frequency's logarithm, the others its hash.
+#: Cells of the frequency sketch (a power of two within these bounds) and its blocks. It orders repeated n-grams, so noise costs no link.
+LEAST_BITS, MOST_BITS, BLOCKS = 14, 22, 32
+#: Cells, of one bit, of the sketch that tells single n-grams: one to two for each n-gram, up to 2**30 (128 MB).
+#: Beyond 8 GB of text it tells fewer and fewer of them, and prefixes are sent whole again, about 24 bytes for each four n-grams.
+MOST_SINGLE_BITS = 30
+#: n-grams that a task gathers before it writes them to the sketch.
+FLUSH_GRAMS = 2_000_000
+#: The top bits of an n-gram's code hold its frequency's logarithm (0: single), the others its hash.
 LEVEL_SHIFT = 59
 #: In a group, members outside its largest component compare with all the others if they are at most
 #: SMALL (FEW after the first round); else all compare with LEADERS of each size, 512 times as many each round.
 SMALL, FEW, LEADERS = 16, 64, 8
 #: Prefix n-grams that a task gathers before it deals them out; sets that one task compares with a hot leader.
 FLUSH, CHUNK = 1_000_000, 512
-#: Bits of the parity signature by which pairs of large groups are turned down.
+#: Bits of the parity signature by which pairs are turned down, in columns of 64.
 SIGNATURE = 512
+SIGS = [f"s{k}" for k in range(SIGNATURE // 64)]
 LAST = np.iinfo(np.int64).max
 
 
@@ -84,73 +92,95 @@ def class_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def signature(hashes: np.ndarray) -> bytes:
+def signature(hashes: np.ndarray) -> np.ndarray:
     """Parity of the number of hashes at each bit: two sets' signatures differ in at most as many bits as the sets in members."""
-    return np.packbits(np.bincount((hashes & U64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+    return np.packbits(np.bincount((hashes & U64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1).view(np.int64)
 
 
-def codes(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
-    """Hashes as codes that sort in the global order."""
-    level = levels[(hashes & U64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << U64(LEVEL_SHIFT)) | (hashes >> U64(64 - LEVEL_SHIFT)))
+class Order:
+    """The global order of n-grams: level 0 for single ones, else the logarithm of their estimated frequency."""
+
+    def __init__(self, levels: np.ndarray, bits: int, repeated: np.ndarray, wide: int):
+        self.levels, self.bits, self.repeated, self.wide = levels, bits, repeated, wide
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """Hashes as codes that sort in the global order."""
+        level = self.levels[(hashes & U64((1 << self.bits) - 1)).astype(np.int64)].astype(np.uint64)
+        level *= bit_at(self.repeated, single_cells(hashes, self.wide))
+        return np.sort((level << U64(LEVEL_SHIFT)) | (hashes >> U64(64 - LEVEL_SHIFT)))
+
+
+def single_cells(hashes: np.ndarray, wide: int) -> np.ndarray:
+    return (hashes >> U64(64 - wide)).astype(np.int64)
 
 
 # --- pass 1: classes and frequencies --------------------------------------------------------------
 
 
-def first_pass(batches, bits: int):
-    """(doc, class, n, sig) of each row, and this task's counts of n-grams in sketch blocks."""
+def first_pass(batches, bits: int, wide: int):
+    """(doc, class, n, signature) of each row, and this task's n-grams in blocks of both sketches: singles from block BLOCKS on."""
     counts = np.zeros(1 << bits, np.uint32)
-    names = ["doc", "class", "n", "sig", "block", "data"]
+    names = ["doc", "class", "n", *SIGS, "block", "data"]
+    held: list[np.ndarray] = []
+    total = 0
+
+    def blocks(found: list[tuple[int, bytes]]):
+        none = [pa.nulls(len(found), pa.int64())] * (3 + len(SIGS))
+        return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names)
 
-    def count(sets: list[np.ndarray]) -> None:
-        counts[:] += np.bincount((np.concatenate(sets) & U64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+    def flush():
+        grams = np.concatenate(held)
+        np.add.at(counts, (grams & U64((1 << bits) - 1)).astype(np.int64), np.uint32(1))
+        return blocks([(BLOCKS + k, x) for k, x in cell_blocks(single_cells(grams, wide), wide, BLOCKS)])
 
     for b in batches:
-        ids, sizes, sigs, held, total = [], [], [], [], 0
+        ids, sizes, sigs = [], [], []
         for h in shingle_sets(b.column(1).to_pylist()):
             ids.append(class_id(h) if len(h) else None)
-            sigs.append(signature(h) if len(h) else None)
+            sigs.append(signature(h))
             sizes.append(len(h))
             held.append(h)
             total += len(h)
-            if total >= 1_000_000:
-                count(held)
+            if total >= FLUSH_GRAMS:
+                yield flush()
                 held, total = [], 0
-        if held:
-            count(held)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+        sig = np.stack(sigs) if sigs else np.empty((0, len(SIGS)), np.int64)
+        rows = [b.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(sig[:, k].copy()) for k in range(len(SIGS))]]
+        yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+    if held:
+        yield flush()
     parts = np.split(counts, BLOCKS)
-    some = [k for k in range(BLOCKS) if parts[k].any()]
-    none = pa.nulls(len(some), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())], names)
+    yield blocks([(k, zlib.compress(parts[k].tobytes(), 1)) for k in range(BLOCKS) if parts[k].any()])
 
 
-def frequency_levels(parts: DataFrame, bits: int) -> np.ndarray:
-    """floor(log2(count + 1)) of each cell, one byte a cell, at most 31."""
+def frequency_order(parts: DataFrame, bits: int, wide: int) -> Order:
+    """The merged sketches: floor(log2(count + 1)) of each cell, one byte a cell, from 1 to 31; and one bit a cell, two or more."""
 
     def merge(found) -> np.ndarray:
         total = np.zeros((1 << bits) // BLOCKS, np.uint64)
         for x in found:
             total += x
-        return np.minimum(np.floor(np.log2(total.astype(np.float64) + 1)), 31).astype(np.uint8)
+        return np.clip(np.floor(np.log2(total.astype(np.float64) + 1)), 1, 31).astype(np.uint8)
 
-    merged = merge_blocks(parts, merge, "uint32")
-    empty = bytes((1 << bits) // BLOCKS)
-    return np.frombuffer(b"".join(zlib.decompress(merged[k]) if k in merged else empty for k in range(BLOCKS)), np.uint8)
+    levels = merge_blocks(parts.where(F.col("block") < BLOCKS), merge, plain)
+    ones = (np.ones((1 << bits) // BLOCKS, np.uint8)).tobytes()
+    levels = np.frombuffer(b"".join(zlib.decompress(levels[k]) if k in levels else ones for k in range(BLOCKS)), np.uint8)
+    width = (1 << wide) // BLOCKS
+    found = merge_blocks(parts.where(F.col("block") >= BLOCKS), merged_bits(width))
+    return Order(levels, bits, np.frombuffer(b"".join(zlib.decompress(found[k]) if k in found else bytes(width // 8) for k in range(BLOCKS, 2 * BLOCKS)), np.uint8), wide)
 
 
 # --- pass 2: candidates ---------------------------------------------------------------------------
 
 
-def prefix_rows(batches, levels, bits: int, buckets: int):
-    """First n-grams of each class that the task meets, with their places, packed for the bucket that their code picks."""
+def prefix_rows(batches, order: Order, buckets: int):
+    """First n-grams of each class that the task meets, but for single ones, with their places, packed for the bucket that their code picks."""
 
     def flush(held):
         token, cls, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
         at = (mix(token) % U64(buckets)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        at, columns = at[order], [x[order] for x in (token, cls, n, place)]
+        by = np.argsort(at, kind="stable")
+        at, columns = at[by], [x[by] for x in (token, cls, n, place)]
         cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         ends = np.append(cut[1:], len(at))
         data = [pa.array([x[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()) for x in columns]
@@ -168,12 +198,15 @@ def prefix_rows(batches, levels, bits: int, buckets: int):
                 seen.clear()
             seen.add(cls)
             p = prefix_length(len(h))
-            held.append((codes(h, levels, bits)[:p], np.full(p, cls, np.int64), np.full(p, len(h), np.int32), np.arange(p, dtype=np.int32)))
+            own = order.codes(h)[:p]
+            single = int(np.searchsorted(own, U64(1 << LEVEL_SHIFT)))
+            p -= single
+            held.append((own[single:], np.full(p, cls, np.int64), np.full(p, len(h), np.int32), np.arange(single, single + p, dtype=np.int32)))
             total += p
             if total >= FLUSH:
                 yield flush(held)
                 held, total = [], 0
-    if held:
+    if total:
         yield flush(held)
 
 
@@ -275,13 +308,14 @@ class Trie:
     A query marks the codes it holds, sums hits along segments, and takes them from parent to child
     one generation at a time, so an overlap is computed once for all sets below a node. A segment
     and all below it are left when the hits so far and the query's codes still to come are
-    too few for any set.
+    too few for any set. n holds the sizes of whole sets, of which single n-grams, never shared, are left out.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], n: list[int]):
+        self.n = np.array(n, np.int64)
         self.vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        self.sizes = np.array([len(x) for x in sets], np.int64)
-        firsts = np.cumsum(self.sizes) - self.sizes
+        sizes = np.array([len(x) for x in sets], np.int64)
+        firsts = np.cumsum(sizes) - sizes
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         nodes, start, attach, parent, depth, stack, before, total = [], [], [], [], [], [], np.empty(0, np.uint64), 0
         for k, i in enumerate(self.order):
@@ -305,45 +339,50 @@ class Trie:
         depth = np.array(depth)
         self.generations = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
 
-    def links(self, query: np.ndarray) -> np.ndarray:
-        """Which sets reach the similarity with the query."""
+    def links(self, query: np.ndarray, n: int) -> np.ndarray:
+        """Which sets reach the similarity with the query, a set of n."""
         place = np.searchsorted(self.vocabulary, query)
         held = np.zeros(len(self.vocabulary) + 1, bool)
         place = place[self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == query]
         held[place] = True
         sums = np.concatenate([[0], np.cumsum(held[self.nodes])])
         base, dead = np.zeros(len(self.start), np.int64), np.zeros(len(self.start), bool)
-        least = (3 * len(query) + 3) // 4
+        least = (3 * n + 3) // 4
         for segs in self.generations[1:]:
             up, at = self.parent[segs], self.attach[segs]
             base[segs] = base[up] + sums[at + 1] - sums[self.start[up]]
             to_come = len(place) - np.searchsorted(place, self.nodes[at], "right")
             dead[segs] = dead[up] | (base[segs] + to_come < least)
         over = base + sums[self.end] - sums[self.start]
-        sizes = self.sizes[self.order]
+        sizes = self.n[self.order]
         out = np.zeros(len(sizes), bool)
-        out[self.order] = ~dead & (100 * over >= 75 * (sizes + len(query) - over))
+        out[self.order] = ~dead & (100 * over >= 75 * (sizes + n - over))
         return out
 
 
+def trie_of(names: list[int], sets: dict[int, np.ndarray], size: dict[int, int]) -> Trie:
+    return Trie([sets[c] for c in names], [size[c] for c in names])
+
+
 def verify_bucket(table):
-    """Rows (cls, codes) of sets and (cls, members) of leaders: links (u, v) of leaders with members."""
+    """Rows (cls, n, codes) of sets and (cls, members) of leaders: links (u, v) of leaders with members."""
     sets: dict[int, np.ndarray] = {}
+    size: dict[int, int] = {}
     led: list[tuple[int, list[int]]] = []
-    for cls, data, members in zip(*(table.column(c).to_pylist() for c in ("cls", "codes", "members")), strict=True):
+    for cls, n, data, members in zip(*(table.column(c).to_pylist() for c in ("cls", "n", "codes", "members")), strict=True):
         if members is None:
-            sets[cls] = np.frombuffer(data, np.uint64)
+            sets[cls], size[cls] = np.frombuffer(data, np.uint64), n
         else:
             led.append((cls, members))
     names = np.array(sorted(sets), np.int64)
     whole, u, v = None, [], []
     for lead, members in led:
         if 8 * len(members) >= len(names):
-            whole = whole or Trie([sets[c] for c in names.tolist()])
-            on = np.isin(names, members) & whole.links(sets[lead])
+            whole = whole or trie_of(names.tolist(), sets, size)
+            on = np.isin(names, members) & whole.links(sets[lead], size[lead])
             found = names[on].tolist()
         else:
-            found = [c for c, ok in zip(members, Trie([sets[c] for c in members]).links(sets[lead]), strict=True) if ok]
+            found = [c for c, ok in zip(members, trie_of(members, sets, size).links(sets[lead], size[lead]), strict=True) if ok]
         u += found
         v += [lead] * len(found)
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -362,16 +401,16 @@ def verify(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
     place = F.pmod(F.xxhash64("leader", F.pmod(F.xxhash64("cls"), F.col("chunks"))), F.lit(buckets)).cast("int")
     led = led.select("leader", "cls", place.alias("bucket"))
     needed = led.select("bucket", "cls").union(led.select("bucket", "leader")).distinct()
-    rows = needed.join(sets, "cls").select("bucket", "cls", "codes", F.lit(None).cast("array<bigint>").alias("members"))
-    rows = rows.union(led.groupBy("bucket", "leader").agg(F.collect_list("cls").alias("m")).select("bucket", "leader", F.lit(None).cast("binary"), "m"))
+    rows = needed.join(sets, "cls").select("bucket", "cls", "n", "codes", F.lit(None).cast("array<bigint>").alias("members"))
+    rows = rows.union(led.groupBy("bucket", "leader").agg(F.collect_list("cls").alias("m")).select("bucket", "leader", F.lit(None).cast("long"), F.lit(None).cast("binary"), "m"))
     return rows.repartition(min(buckets, 4096), "bucket").groupBy("bucket").applyInArrow(verify_bucket, "u long, v long")
 
 
 # --- connected components --------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the least id of each node's component, by alternating large and small stars.
+def components(links: DataFrame) -> tuple[DataFrame, Stash]:
+    """(id, root), and the stash that holds it: the least id of each node's component, by alternating large and small stars.
 
     Only links are held, in the cluster; each round is written to the shared folder.
     """
@@ -390,7 +429,7 @@ def components(links: DataFrame) -> DataFrame:
         held = after
         now = held.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
-            return held.df.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return held.df.select(F.col("u").alias("id"), F.col("v").alias("root")), held
         mark = tuple(now)
 
 
@@ -414,7 +453,7 @@ def bloom(keys: DataFrame, n: int) -> tuple[int, np.ndarray]:
             on[at] = True
         return np.packbits(on)
 
-    merged = merge_blocks(keys.mapInArrow(part, "block int, data binary"), merge, "uint32")
+    merged = merge_blocks(keys.mapInArrow(part, "block int, data binary"), merge, plain)
     empty = bytes((1 << bits) // blocks // 8)
     return bits, np.frombuffer(b"".join(zlib.decompress(merged[k]) if k in merged else empty for k in range(blocks)), np.uint8)
 
@@ -423,8 +462,8 @@ def places(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> U64(64 - bits)).astype(np.int64)
 
 
-def candidate_sets(base: DataFrame, reps: DataFrame, levels, bits: int) -> DataFrame:
-    """(cls, codes) of the classes whose smallest document is in reps (doc): one scan, no shuffle of texts."""
+def candidate_sets(base: DataFrame, reps: DataFrame, order) -> DataFrame:
+    """(cls, n, codes without single n-grams) of the classes whose smallest document is in reps (doc): one scan, no shuffle of texts."""
     n = reps.count()
     wide, packed = bloom(reps, n)
     shared = base.sparkSession.sparkContext.broadcast(packed)
@@ -433,17 +472,28 @@ def candidate_sets(base: DataFrame, reps: DataFrame, levels, bits: int) -> DataF
         seen: set[int] = set()
         for b in batches:
             at = places(b.column(0).to_numpy(zero_copy_only=False), wide)
-            on = shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            ids, data = [], []
-            for h in shingle_sets(b.column(1).filter(pa.array(on.astype(bool))).to_pylist()):
+            ids, sizes, data = [], [], []
+            for h in shingle_sets(b.column(1).filter(pa.array(bit_at(shared.value, at))).to_pylist()):
                 cls = class_id(h) if len(h) else None
                 if cls is not None and cls not in seen:
                     seen.add(cls)
+                    own = order.value.codes(h)
                     ids.append(cls)
-                    data.append(codes(h, levels.value, bits).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["cls", "codes"])
+                    sizes.append(len(own))
+                    data.append(own[np.searchsorted(own, U64(1 << LEVEL_SHIFT)) :].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], ["cls", "n", "codes"])
 
-    return base.mapInArrow(run, "cls long, codes binary")
+    # the filter lets some others through, so a document of that number may pass for those without one
+    return base.select(F.coalesce("doc", F.lit(int(LAST))), "t").mapInArrow(run, "cls long, n long, codes binary")
+
+
+def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures differ in a seventh of the sum of their sizes at most, as those of linked sets do."""
+    both = pairs
+    for x in "ab":
+        both = both.join(signatures.select(*[F.col(c).alias(f"{c}_{x}") for c in signatures.columns]), F.col(x) == F.col(f"c_{x}"))
+    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SIGS), F.lit(0))
+    return both.where(7 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame, n_groups: int, k: int) -> DataFrame:
@@ -459,13 +509,13 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame,
     members = groups.mapInArrow(explode, "token long, cls long, n int, place int")
     members = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
     several = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    members = members.join(several, F.col("token") == F.col("t"), "left_semi").join(signatures, F.col("cls") == F.col("c")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    members = members.join(several, F.col("token") == F.col("t"), "left_semi").join(signatures.drop("n"), F.col("cls") == F.col("c")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
 
     def pairs(table):
         token, cls, n, place, root = (table.column(k).to_numpy() for k in ("token", "cls", "n", "place", "root"))
         order = np.lexsort((cls, token))
         token, cls, n, place, root = token[order], cls[order], n[order], place[order], root[order]
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        sig = np.stack([table.column(k).to_numpy() for k in SIGS], 1).view(np.uint64)[order]
         cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         out, more = Pairs(cls), False
         for a, z in zip(cut, np.append(cut[1:], len(token)), strict=True):
@@ -475,7 +525,7 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame,
         end = pa.nulls(int(more), pa.int64())
         return pa.table({c: pa.concat_arrays([pa.array(x), end]) for c, x in zip("ab", out.columns(), strict=True)})
 
-    dealt = members.select("bucket", "token", "cls", "n", "place", "root", "sig").repartition(buckets, "bucket")
+    dealt = members.select("bucket", "token", "cls", "n", "place", "root", *SIGS).repartition(buckets, "bucket")
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -490,35 +540,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     59-bit and sets grouped by 64-bit hashes.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.col("text").cast("binary").alias("t"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("t"))
     size = int(base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"])
     bits = min(MOST_BITS, max(LEAST_BITS, (size // 48).bit_length()))
-    first = Stash(base.mapInArrow(lambda batches: first_pass(batches, bits), "doc long, class long, n long, sig binary, block int, data binary"), "classes").df
-    levels = spark.sparkContext.broadcast(frequency_levels(first.where("block is not null").select("block", "data"), bits))
+    wide = min(MOST_SINGLE_BITS, max(LEAST_BITS, (size // 8).bit_length()))
+    sigs = ", ".join(f"{c} long" for c in SIGS)
+    held = [Stash(base.mapInArrow(lambda batches: first_pass(batches, bits, wide), f"doc long, class long, n long, {sigs}, block int, data binary"), "classes")]
+    first = held[0].df
+    order = spark.sparkContext.broadcast(frequency_order(first.where("block is not null").select("block", "data"), bits, wide))
     rows = first.where("block is null").select("doc", F.col("class").alias("cls"), "n")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
-
-    signatures = first.where("class is not null").groupBy(F.col("class").alias("c")).agg(F.first("sig").alias("sig"))
+    signatures = first.where("class is not null").groupBy(F.col("class").alias("c")).agg(*[F.min(x).alias(x) for x in ("n", *SIGS)])
 
     buckets = buckets_for(size // 24, 300_000, 48)
-    prefixes = base.mapInArrow(lambda batches: prefix_rows(batches, levels.value, bits, buckets), "bucket int, token binary, cls binary, n binary, place binary")
-    found = Stash(prefixes.groupBy("bucket").applyInArrow(candidate_groups, "a long, b long, token long, cls binary, n binary, place binary"), "candidates")
-    pairs = found.df.where("a is not null").select("a", "b").distinct()
-    groups = found.df.where("cls is not null").select("token", "cls", "n", "place")
+    prefixes = base.mapInArrow(lambda batches: prefix_rows(batches, order.value, buckets), "bucket int, token binary, cls binary, n binary, place binary")
+    held.append(Stash(prefixes.groupBy("bucket").applyInArrow(candidate_groups, "a long, b long, token long, cls binary, n binary, place binary"), "candidates"))
+    found = held[-1].df
+    proposed = found.where("a is not null").select("a", "b").distinct()
+    held.append(Stash(plausible(proposed, signatures), "pairs"))
+    pairs = held[-1].df
+    groups = found.where("cls is not null").select("token", "cls", "n", "place")
 
     n_pairs = pairs.count()
     roots = None
 
     def sets_of(some: DataFrame) -> Stash:
         involved = some.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        reps = classes.join(involved, "cls", "left_semi").select(F.col("rep").alias("doc")).distinct()
-        return Stash(candidate_sets(base, reps, levels, bits).dropDuplicates(["cls"]), "sets")
+        reps = classes.join(involved, "cls", "left_semi").select(F.coalesce("rep", F.lit(int(LAST))).alias("doc")).distinct()
+        return Stash(candidate_sets(base, reps, order).dropDuplicates(["cls"]), "sets")
 
-    if n_pairs:
+    n_groups = groups.count()
+    if n_pairs or n_groups:
         sets = sets_of(pairs)
         links = Stash(verify(pairs, sets.df, n_pairs), "links")
-        roots = components(links.df)
-        n_groups, k = groups.count(), LEADERS
+        roots, trees = components(links.df)
+        k = LEADERS
         while n_groups:
             k *= 512
             more = Stash(remaining_pairs(groups, roots, signatures, n_groups, k), "pairs")
@@ -529,11 +585,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 sets = sets_of(some)
                 after = Stash(links.df.union(verify(some, sets.df, n_more)), "links")
                 links.drop()
-                links, roots = after, components(after.df)
+                trees.drop()
+                links = after
+                roots, trees = components(after.df)
             more.drop()
             if not incomplete:
                 break
         sets.drop()
+        held += [links, trees]
     if roots is None:
         named = classes.select(F.col("cls").alias("c"), F.col("rep").alias("least"))
     else:
@@ -541,6 +600,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         least = rooted.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "r")
         named = rooted.join(least, F.col("root") == F.col("r")).select("c", "least")
     out = rows.join(named, F.col("cls") == F.col("c"), "left")
-    component = F.coalesce("least", "doc")
-    back = lambda c: F.when(c != F.lit(int(LAST)), c)
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"))
+    out = Stash(out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id")), "near-duplicates")
+    for x in held:
+        x.drop()
+    return out.df

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buckets_for, merge_blocks, mix, ngram_hashes
+from .common import U64, bit_at, buckets_for, cell_blocks, merge_blocks, merged_bits, mix, ngram_hashes
 
 WINDOW, GRAM = 20, 10
 #: Cells of a sketch row: four for each expected anchor, as a power of two within these bounds.
@@ -73,17 +73,12 @@ def cells(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_rows(batches, bits: int):
-    """Partial sketches: (block, zlib of uint32 offset * 2 + (two or more)) for the blocks touched."""
+    """Partial sketches: (block, packed cells) for the blocks touched."""
 
     def flush(found: list[np.ndarray]):
-        width = (1 << bits) // BLOCKS
         for row, cell in enumerate(cells(np.concatenate(found), bits)):
-            cell, counts = np.unique(cell, return_counts=True)
-            code = ((cell % width) * 2 + (counts > 1)).astype(np.uint32)
-            cuts = np.searchsorted(cell, np.arange(BLOCKS + 1) * width)
-            blocks = [k for k in range(BLOCKS) if cuts[k + 1] > cuts[k]]
-            data = [zlib.compress(code[cuts[k] : cuts[k + 1]].tobytes(), 1) for k in blocks]
-            yield pa.RecordBatch.from_arrays([pa.array([row * BLOCKS + k for k in blocks], pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+            blocks = cell_blocks(cell, bits, BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array([row * BLOCKS + k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["block", "data"])
 
     found, total = [], 0
     for rows in chunks(batches):
@@ -100,15 +95,7 @@ def sketch_rows(batches, bits: int):
 def build_sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
     """Both rows' bits "two or more", packed; 2 * 2**bits / 8 bytes whatever the input."""
     width = (1 << bits) // BLOCKS
-
-    def merge(parts) -> np.ndarray:
-        count = np.zeros(width, np.uint8)
-        for code in parts:
-            at = code >> 1
-            count[at] = np.minimum(count[at] + 1 + (code & 1), 2)
-        return np.packbits(count > 1)
-
-    merged = merge_blocks(texts.mapInArrow(lambda batches: sketch_rows(batches, bits), "block int, data binary"), merge, "uint32")
+    merged = merge_blocks(texts.mapInArrow(lambda batches: sketch_rows(batches, bits), "block int, data binary"), merged_bits(width))
     empty = bytes(width // 8)
     join = [b"".join(zlib.decompress(merged[r * BLOCKS + k]) if r * BLOCKS + k in merged else empty for k in range(BLOCKS)) for r in range(2)]
     return [np.frombuffer(x, np.uint8) for x in join]
@@ -117,8 +104,8 @@ def build_sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
 def often(anchor: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
     """Where the count-min estimate, the lesser of both rows, is two or more."""
     out = np.ones(len(anchor), bool)
-    for packed, cell in zip(sketch, cells(anchor, bits), strict=True):
-        out &= (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+    for row, cell in zip(sketch, cells(anchor, bits), strict=True):
+        out &= bit_at(row, cell)
     return out
 
 
