@@ -1,18 +1,18 @@
 """Personal data: exact base patterns, and a character BiLSTM with CRF transitions for what they miss.
 
 The network is trained in numpy, on the driver, from labelled spans that a seeded generator writes
-into invented text (addresses in several spellings, and look-alikes that are none). Each kind
-needs a digit, an `@` or a bracketed `at`, so the network reads the overlapping windows around such
-characters of a whole text; a window without any cannot hold a span. Windows are decoded by Viterbi search, spans cut by a
-window's edge give way to the neighbour that holds them whole, and of all spans of a text the
-set of greatest total score without overlaps is kept.
+into invented text (addresses in several spellings, long account numbers, assigned secrets, and
+look-alikes that are none). Every kind has a digit, an `@` or a bracketed `at` in it, so the network reads
+the overlapping windows within MARGIN characters of such ones in a whole text; nowhere else can a span
+stand. Windows are decoded by Viterbi search, spans cut by a window's edge give way to the neighbour that
+holds them whole, and of all spans of a text the set of greatest total score without overlaps is kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +20,24 @@ from pyspark.sql import DataFrame
 
 from .common import small
 
+#: Kinds of the base patterns, in the order of lists.
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns.
-BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
-TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
-WINDOW, STRIDE, MARGIN = 96, 48, 24
+#: Kinds that the network tells. A long number that it finds is a card if its digits pass Luhn's test, else an account.
+LEARNT = (*KINDS, "secret")
+LISTED = (*KINDS, "account", "secret")
+#: Characters before an address's sign and patterns of the base, taken apart so that each text is read once.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(\.[0-9]+)*")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+WINDOW, STRIDE, MARGIN = 128, 64, 48
 #: Hidden units of each direction, training windows, epochs, batch, step and seed.
-HIDDEN, TRAIN, EPOCHS, BATCH, RATE, SEED = 16, 480, 10, 24, 0.02, 5
-TAGS = 1 + 2 * len(KINDS)
+HIDDEN, TRAIN, EPOCHS, BATCH, RATE, SEED = 16, 640, 12, 24, 0.02, 5
+TAGS = 1 + 2 * len(LEARNT)
 #: Character classes: one digit class, letters by what spans are made of, separators one by one.
-SEPARATORS = "@.-_+()[] \n:/,"
+SEPARATORS = "@.-_+()[] \n:/,=\"'"
 CLASSES = len(SEPARATORS) + 6
 #: Windows decoded at once.
 DECODE = 512
@@ -48,10 +51,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and int(digits) <= 255)
+
+
 def valid(kind: str, text: str) -> bool:
     digits = re.sub("[^0-9]", "", text)
     if kind == "ip":
-        return all(int(x) <= 255 for x in re.findall("[0-9]+", text))
+        return all(octet(x) for x in re.findall("[0-9]+", text))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -59,12 +67,41 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from each `@`."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        first = at
+        while first > end and text[first - 1] in LOCAL:
+            first -= 1
+        found = DOMAIN.match(text, at + 1) if first < at else None
+        if found:
+            end = found.end()
+            out.append((first, end))
+        at = text.find("@", max(end, at + 1))
+    return out
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of four numbers between dots: fours of every chain of dotted numbers."""
+    out = []
+    for chain in DOTTED.finditer(text):
+        if text.count(".", chain.start(), chain.end()) >= 3:
+            parts = [m.span() for m in re.compile("[0-9]+").finditer(text, chain.start(), chain.end())]
+            out += [(parts[k][0], parts[k + 3][1]) for k in range(0, len(parts) - 3, 4)]
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind): leftmost non-overlapping matches of each kind, failing ones dropped."""
+    """(start, end, kind): leftmost non-overlapping matches of each kind, failing ones dropped; linear in the text."""
     if not TRIGGER.search(text):
         return []
-    found = [(m.start(), m.end(), kind) for kind, pattern in BASE.items() for m in pattern.finditer(text) if valid(kind, m[0])]
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
+    places = {"email": emails(text), "ip": addresses(text), "card": [m.span() for m in CARD.finditer(text)], "phone": [m.span() for m in PHONE.finditer(text)]}
+    return sorted(((a, b, kind) for kind, found in places.items() for a, b in found if valid(kind, text[a:b])), key=rank)
+
+
+def rank(span: tuple[int, int, str]) -> tuple[int, int, int]:
+    return span[0], LISTED.index(span[2]), span[1]
 
 
 # --- the network ------------------------------------------------------------------------------------
@@ -184,24 +221,31 @@ def card_number(rng) -> str:
     return digits + next(str(c) for c in range(10) if luhn(digits + str(c)))
 
 
-def example(rng) -> tuple[str, str | None]:
-    """An address with its kind, or a look-alike with None."""
+def example(rng) -> tuple[str, str, str | None]:
+    """What stands before it, an address or the like with its kind, or a look-alike with None."""
     d = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
-    word = lambda: "".join(rng.choice(list("abcdehilmnoprstu"), rng.integers(2, 8)))
-    pick = int(rng.integers(0, 18))
+    mixed = lambda letters, n: "".join(rng.choice(list(letters), n))
+    word = lambda: mixed("abcdehilmnoprstu", rng.integers(2, 8))
+    pick = int(rng.integers(0, 24))
     if pick <= 2:
-        at, dot = [("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", ".")][int(rng.integers(0, 4))]
-        return f"{word()}{rng.choice(['.', '', '_'])}{d(2) if pick else word()}{at}{word()}{d(1) if pick else ''}{dot}{rng.choice(['com', 'org', 'de', 'example' + dot + 'com'])}", "email"
+        at, dot = [("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(AT)", "."), ("[ at ]", ".")][int(rng.integers(0, 5))]
+        return "", f"{word()}{rng.choice(['.', '', '_'])}{d(2) if pick else word()}{at}{word()}{d(1) if pick else ''}{dot}{rng.choice(['com', 'org', 'de', 'example' + dot + 'com'])}", "email"
     if pick <= 4:
-        return rng.choice([".", ".", "[.]"]).join(str(x) for x in rng.integers(0, 256, 4)), "ip"
-    if pick <= 7:
-        n = card_number(rng)
-        sep = rng.choice(["", " ", "-", "."])
-        return sep.join([n[:4], n[4:8], n[8:12], n[12:]]), "card"
-    if pick <= 11:
+        return "", rng.choice([".", ".", "[.]"]).join(str(x) for x in rng.integers(0, 256, 4)), "ip"
+    if pick <= 8:
+        n = card_number(rng) if rng.random() < 0.5 else d(16)
+        return "", str(rng.choice(["", "", " ", "-", "."])).join([n[:4], n[4:8], n[8:12], n[12:]]), "card"
+    if pick <= 12:
         a, b, c = d(3), d(3), d(4)
-        return str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {a} {b}{c}", f"{a}.{b}.{c}", f"00{d(2)} {a} {b} {c}"])), "phone"
-    return str(rng.choice([d(int(rng.integers(1, 5))), f"20{d(2)}-0{1 + rng.integers(0, 9)}-{d(2)}", f"{d(1)}.{d(1)}", f"{d(2)}:{d(2)}", f"#{d(6)}", "".join(rng.choice(list("0123456789abcdef"), 24)), f"{d(2)}%", f"{word()}{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"@{word()}", "AKIA" + "".join(rng.choice(list("ABCDEFGHJK234567"), 16))])), None
+        return "", str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+49 {a} {b}{c}", f"{a}.{b}.{c}", f"00{d(2)} {a} {b} {c}"])), "phone"
+    if pick <= 16:
+        letters = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"][int(rng.integers(0, 3))]
+        name = [word(), "token", "key", "secret", word() + "_key"][int(rng.integers(0, 5))]
+        name = name.upper() if rng.random() < 0.2 else name
+        return name + str(rng.choice([' = "', ' = "', '="', ": ", "=", " = '", ": '"])), mixed(letters, rng.integers(20, 49)), "secret"
+    if pick == 17:  # named, but no secret
+        return f"{word()} = ", str(rng.choice([word(), d(3), '"' + word() + '"', word() + " " + word(), f"{d(1)}.{d(2)}"])), None
+    return "", str(rng.choice([d(int(rng.integers(1, 5))), f"20{d(2)}-0{1 + rng.integers(0, 9)}-{d(2)}", f"{d(1)}.{d(1)}", f"{d(2)}:{d(2)}", f"#{d(6)}", f"{d(2)}%", f"{word()}{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"@{word()}", f"{word()}-{d(3)}-{word()}", f"{d(1)},{d(3)},{d(3)}"])), None
 
 
 def labelled(rng, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +256,15 @@ def labelled(rng, n: int) -> tuple[np.ndarray, np.ndarray]:
         text, marks = "", []
         while len(text) < WINDOW + 40:
             if rng.random() < 0.3:
-                own, kind = example(rng)
+                before, own, kind = example(rng)
+                text += before
                 if kind:
-                    marks.append((len(text), len(text) + len(own), KINDS.index(kind)))
-                text += own
+                    marks.append((len(text), len(text) + len(own), LEARNT.index(kind)))
+                text += own + before[-1:] * (before[-1:] in ('"', "'"))
             else:
                 own = "".join(rng.choice(letters, rng.integers(1, 10)))
                 text += own.capitalize() if rng.random() < 0.15 else own
-            text += str(rng.choice([" ", " ", " ", " ", ". ", ", ", "\n", "### ", " | "]))
+            text += str(rng.choice([" ", " ", " ", " ", ". ", ", ", "\n", "### ", "!! ", " | "]))
         cut = int(rng.integers(0, 40))
         ids[row] = classes(text)[cut : cut + WINDOW]
         own = np.zeros(len(text), np.int64)
@@ -255,7 +300,7 @@ def train(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    for k in range(len(KINDS)):  # no inside without its begin
+    for k in range(len(LEARNT)):  # no inside without its begin
         for tag in range(TAGS):
             if tag not in (1 + 2 * k, 2 + 2 * k):
                 model["trans"][tag, 2 + 2 * k] = -30
@@ -266,16 +311,19 @@ def train(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of overlapping windows over every stretch near a trigger character."""
-    out, end = [], -1
+    """Starts of overlapping windows over every stretch within MARGIN of a trigger character."""
+    out, first, last = [], 0, -1
     for m in TRIGGER.finditer(text):
-        if m.end() + MARGIN <= end:
-            continue
-        if m.start() - MARGIN > end - STRIDE:
-            out.append(max(0, m.start() - MARGIN))
-        while (end := out[-1] + WINDOW) < m.end() + MARGIN and end < len(text):
-            out.append(out[-1] + STRIDE)
-    return out
+        if m.start() - MARGIN > last:
+            out += covering(first, last)
+            first = max(0, m.start() - MARGIN)
+        last = min(len(text), m.end() + MARGIN)
+    return out + covering(first, last)
+
+
+def covering(first: int, last: int) -> list[int]:
+    """Starts, STRIDE apart, of the windows that cover a stretch."""
+    return list(range(first, max(first, last - WINDOW) + STRIDE, STRIDE)) if last > first else []
 
 
 def window_spans(tags: np.ndarray, score: np.ndarray, start: int, size: int, length: int) -> list[tuple[int, int, str, float]]:
@@ -289,7 +337,7 @@ def window_spans(tags: np.ndarray, score: np.ndarray, start: int, size: int, len
             whole = (t > 0 or start == 0) and (z < size or start + size >= length)
             if whole:
                 gain = float((score[np.arange(t, z), tags[t:z]] - score[t:z, 0]).sum())
-                out.append((start + t, start + z, KINDS[(tags[t] - 1) // 2], gain))
+                out.append((start + t, start + z, LEARNT[(tags[t] - 1) // 2], gain))
             t = z
         else:
             t += 1
@@ -319,20 +367,24 @@ def reconcile(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
 
 #: What an added span must look like: the network finds it, this confirms it.
 ADDED = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+\s?(@|[(\[]at[)\]])\s?[A-Za-z0-9-]+(\s?(\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+\s?(@|[(\[]\s?at\s?[)\]])\s?[A-Za-z0-9-]+(\s?(\.|[(\[]dot[)\]])\s?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"[0-9]{1,3}((\.|\[\.\])[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9]{4}([ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}"),
     "phone": re.compile(r"(\+[0-9]{1,3} ?|00[0-9]{1,3} )?(\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}([ .-]?[0-9]{2,7})+"),
+    "secret": re.compile(r"(?=.*[A-Za-z])(?=(.*[0-9]){2})[A-Za-z0-9+/_-]{16,}"),
 }
 
 
 def accept(text: str, base: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Confirmed spans of the network that overlap no base span and cut no longer run of digits or letters."""
-    out = []
+    taken = [0]  # ends of the base spans so far, in the order of their starts
+    for _, y, _ in base:
+        taken.append(max(taken[-1], y))
+    starts, out = [x for x, _, _ in base], []
     for a, b, kind in found:
         edge = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-        if edge and ADDED[kind].fullmatch(text[a:b]) and valid(kind, text[a:b]) and all(b <= x or a >= y for x, y, _ in base):
-            out.append((a, b, kind))
+        if edge and taken[bisect_left(starts, b)] <= a and ADDED[kind].fullmatch(text[a:b]) and (kind == "card" or valid(kind, text[a:b])):
+            out.append((a, b, "account" if kind == "card" and not valid(kind, text[a:b]) else kind))
     return out
 
 
@@ -355,13 +407,15 @@ def decode(model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=rank))
 
 
 def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_account, n_secret, n_spans.
 
-    Counts and base_sha256 are of the base patterns; spans lists those and what the network adds.
+    The first four counts and base_sha256 are of the base patterns; spans lists those and what the
+    network adds: further spellings of the four kinds, long numbers that are no card (account) and secrets,
+    which the last counts, of all spans, include.
     Offsets are code points, ends exclusive. Whole texts are read; a null text is an empty one and
     has no spans. Rows are judged alone, so repeated rows agree; an empty table gives no rows; a null
     doc_id stays null. Other columns are not read.
@@ -377,9 +431,10 @@ def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
             for i, found in zip(near, decode(shared.value, [texts[i] for i in near]), strict=True):
                 more[i] = accept(texts[i], base[i], found)
             counts = [pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in KINDS]
+            added = [pa.array([sum(s[2] == k for s in x) for x in more], pa.int64()) for k in LISTED[len(KINDS) :]] + [pa.array([len(x) + len(y) for x, y in zip(base, more, strict=True)], pa.int64())]
             digests = pa.array([hashlib.sha256(listed(x).encode()).hexdigest() for x in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([listed(x + y) for x, y in zip(base, more, strict=True)], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, pa.array([listed(x + y) for x, y in zip(base, more, strict=True)], pa.string()), *added], names)
 
     some = docs.select("doc_id", "text")
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
-    return some.mapInArrow(run, f"doc_id {some.schema[0].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_account", "n_secret", "n_spans"]
+    return some.mapInArrow(run, f"doc_id {some.schema[0].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_account long, n_secret long, n_spans long")
