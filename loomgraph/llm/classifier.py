@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     rows = some.mapInArrow(run, f"doc_id {some.schema[0].dataType.simpleString()}, y int, ids binary, weights binary")
     rows = sorted((r for r in rows.toLocalIterator()), key=lambda r: r["doc_id"])
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows ])
+    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["weights"], np.float32), r["y"]) for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,8 +175,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
             scores = [own.score(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(scores, pa.float64())], names)
 
-    some = docs.select("doc_id", F.col("text").cast("binary").alias("__t"), *[F.col(c).alias(f"__k_{c}") for c in kept])
-    names = ["doc_id", *[f"__k_{c}" for c in kept], "score"]
-    schema = ", ".join([f"doc_id {some.schema[0].dataType.simpleString()}", *[f"`__k_{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], "score double"])
+    some = docs.select("doc_id", F.col("text").cast("binary").alias("__t"), *[F.col(f"`{c}`").alias(f"__k{k}") for k, c in enumerate(kept)])
+    names = ["doc_id", *[f"__k{k}" for k in range(len(kept))], "score"]
+    schema = ", ".join([f"doc_id {some.schema[0].dataType.simpleString()}", *[f"__k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)], "score double"])
     out = some.mapInArrow(run, schema)
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"__k_{c}") for c in kept])
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"__k{k}").alias(f"__k_{c}") for k, c in enumerate(kept)])

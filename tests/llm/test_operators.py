@@ -171,6 +171,15 @@ def test_decontamination(spark, docs, rows):
         assert bool(r["spans"]) == bool(hit)
 
 
+def test_decontamination_in_several_passes(spark, docs, rows):
+    items = spark.createDataFrame([(1, " ".join(rows[10][1].split()[5:40])), (2, "One"), (3, None), (None, rows[13][1]), (10, rows[10][1])], "item_id long, text string")
+    wide = docs.withColumn("a.b", F.lit(1))
+    one = decontam.decontaminate(wide, items, keep=("a.b", "text"), spans=True)
+    several = decontam.decontaminate(wide, items, keep=("a.b", "text"), spans=True, automaton_bytes=2_000)
+    assert one.columns == several.columns and collect(one) == collect(several)
+    assert sum(r["n_hit"] > 0 for r in one.collect()) > 5
+
+
 def test_decontamination_by_items_without_id(spark):
     docs = spark.createDataFrame([(1, "a one two b"), (2, "one two three"), (3, "c d")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(None, "one two"), (None, "two three"), (7, "two three")], "item_id long, text string")
