@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = classifier.train(docs, read(spark, sf_dir, "labels"))
     own = [c for c in docs.columns if c != "doc_id"]
     scored = classifier.score_documents(docs, model, keep=tuple(own)).where("predicted = 1")
-    return scored.select(*[F.col("doc_id" if c == "doc_id" else f"__k_{c}").alias(c) for c in docs.columns])
+    return scored.select(*[F.col("doc_id" if c == "doc_id" else f"`__k_{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +32,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest doc_id. Rows that repeat a doc_id stay or go together."""
     judged = jaccard.near_duplicates(docs)
-    stay = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    stay = judged.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    # columns are packed, so that none of theirs can clash with the key
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
+    return rows.join(stay.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in benchmark windows."""
     own = [c for c in docs.columns if c != "doc_id"]
     judged = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=tuple(own)).where("not contaminated")
-    return judged.select(*[F.col("doc_id" if c == "doc_id" else f"__k_{c}").alias(c) for c in docs.columns])
+    return judged.select(*[F.col("doc_id" if c == "doc_id" else f"`__k_{c}`").alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the documents table; each stage's rows are written, and removed once the next one's are."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = Stash(stage(spark, docs, sf_dir), f"stage-{k}").df
+        after = Stash(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return docs
