@@ -15,9 +15,21 @@ class CypherTypeError(CypherError):
     """An operand has the wrong type."""
 
 
+class ArgumentError(CypherError):
+    """An argument of the right type has a value that is not allowed."""
+
+
+class EntityNotFound(CypherError):
+    """A node or relationship is no longer there."""
+
+
 class ProcedureError(CypherError):
     """A procedure is unknown or called wrongly."""
 
 
 class ParameterMissing(CypherError):
     """A query parameter has no value."""
+
+
+class UpdateError(CypherError):
+    """A change would leave the graph unsound, or cannot be made as written."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherSyntaxError, CypherTypeError
+from . import temporal
 
 BLANKS = " \t\n\r"
 INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
@@ -25,9 +26,7 @@ def to_integer(x: Column, t: T.DataType) -> Column:
 
 
 def to_string(x: Column, t: T.DataType) -> Column:
-    if isinstance(t, (T.TimestampNTZType, T.TimestampType)):
-        return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
-    return x.cast("string")
+    return temporal.text(x, t) if temporal.kind_of(t) else x.cast("string")
 
 
 def to_boolean(x: Column, t: T.DataType) -> Column:
@@ -69,40 +68,12 @@ def slice_of(x: Column, t: T.DataType, low: Column | None, high: Column | None)
     return F.when(known[0] & known[-1], out) if known else out
 
 
-DATE_PARTS = {
-    "year": F.year, "month": F.month, "day": F.dayofmonth, "quarter": F.quarter, "week": F.weekofyear, "hour": F.hour, "minute": F.minute,
-    "dayofyear": F.dayofyear, "ordinalday": F.dayofyear, "dayofweek": lambda x: F.weekday(x) + 1, "weekyear": lambda x: F.extract(F.lit("yearofweek"), x),
-    "second": lambda x: F.floor(F.extract(F.lit("second"), x)),
-}
-
-
-def date_part(x: Column, part: str) -> Column:
-    if part == "epochSeconds":
-        return F.unix_seconds(x.cast("timestamp"))
-    if part == "epochMillis":
-        return F.unix_millis(x.cast("timestamp"))
-    if part.lower() not in DATE_PARTS:
-        raise CypherTypeError("InvalidArgumentType", f"no temporal component {part}")
-    return DATE_PARTS[part.lower()](x).cast("long")
-
-
-UNITS = {"millennium": 1000, "century": 100, "decade": 10}
-
-
-def truncate(unit: str, x: Column, kind: str) -> Column:
-    if unit in UNITS:
-        out = F.make_date((F.floor(F.year(x) / UNITS[unit]) * UNITS[unit]).cast("int"), F.lit(1), F.lit(1))
-    else:
-        out = F.date_trunc(unit, x)
-    return out.cast("date" if kind == "date" else "timestamp_ntz")
-
-
 SIMPLE = {
     "coalesce": F.coalesce, "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("long"), "floor": lambda x: F.floor(x).cast("long"), "round": lambda x: F.bround(x).cast("long"),
     "sign": lambda x: F.signum(x).cast("long"), "sqrt": lambda x: F.sqrt(x), "toupper": F.upper, "tolower": F.lower, "trim": lambda x: F.btrim(x, F.lit(BLANKS)),
     "ltrim": lambda x: F.ltrim(x, F.lit(BLANKS)), "rtrim": lambda x: F.rtrim(x, F.lit(BLANKS)), "replace": lambda s, a, b: F.replace(s, a, b), "rand": F.rand,
     "left": F.left, "right": F.right, "substring": substring, "range": number_range, "head": lambda x: F.get(x, F.lit(0)), "last": lambda x: F.get(x, F.size(x) - 1),
-    "tail": lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))), "localdatetime": lambda x: x.cast("timestamp_ntz"), "datetime": lambda x: x.cast("timestamp_ntz"),
+    "tail": lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))),
 }
 TYPED = {"tointeger": to_integer, "tostring": to_string, "toboolean": to_boolean}
 
@@ -120,8 +91,6 @@ def call(name: str, args: list[Column], types: list[T.DataType]) -> Column:
         return F.reverse(args[0])
     if name == "split":
         return F.when(args[1] == "", F.split(args[0], "")).otherwise(F.split(args[0], F.concat(F.lit("\\Q"), args[1], F.lit("\\E"))))
-    if name == "date":
-        return F.make_date(*[a.cast("int") for a in args]) if len(args) == 3 else F.current_date() if not args else args[0].cast("date")
     if name not in SIMPLE:
         raise CypherSyntaxError("UnknownFunction", name)
     return SIMPLE[name](*args)

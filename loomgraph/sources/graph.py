@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ProcedureError
 
@@ -13,42 +14,142 @@ from ..errors import ProcedureError
 KEY_BITS = 48
 
 
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of both; a column of two types becomes the wider number, or text."""
+    for c in set(a.columns) & set(b.columns):
+        x, y = a.schema[c].dataType, b.schema[c].dataType
+        if x != y:
+            kinds = {type(x), type(y)}
+            wide = y if isinstance(x, T.NullType) else x if isinstance(y, T.NullType) else T.LongType() if kinds <= {T.LongType, T.IntegerType} else T.DoubleType() if all(isinstance(t, T.NumericType) for t in (x, y)) else T.StringType()
+            a, b = (df.withColumn(c, F.col(f"`{c}`").cast(wide)) for df in (a, b))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 class PropertyGraph:
-    """nodes: label -> DataFrame(id, properties...); rels: type -> (DataFrame(id, start, end, properties...), start label, end label)."""
+    """nodes: label -> DataFrame(id, properties...); rels: type -> (DataFrame(id, start, end, properties...), start label, end label).
+
+    A node table may hold a column `labels` where its nodes have other labels than the table's name;
+    `mixed` has the labels that such a table may hold. Changes make new graphs, which share what is unchanged.
+    """
 
-    def __init__(self, nodes: dict[str, DataFrame], rels: dict[str, tuple[DataFrame, str | None, str | None]]):
-        self.nodes, self.rels, self.procedures = nodes, rels, {}
+    def __init__(self, nodes: dict[str, DataFrame], rels: dict[str, tuple[DataFrame, str | None, str | None]], procedures: dict | None = None, mixed: dict[str, set[str]] | None = None):
+        self.nodes, self.rels, self.procedures, self.mixed = nodes, rels, procedures if procedures is not None else {}, mixed or {}
 
-    def register_procedure(self, name: str, inputs: list[str], table: DataFrame) -> None:
-        """A table that CALL joins on its input columns; its other columns can be yielded."""
-        self.procedures[name] = (inputs, table)
+    def changed(self, nodes: dict | None = None, rels: dict | None = None, mixed: dict | None = None) -> PropertyGraph:
+        return PropertyGraph({**self.nodes, **(nodes or {})}, {**self.rels, **(rels or {})}, self.procedures, {**self.mixed, **(mixed or {})})
 
-    def procedure(self, name: str) -> tuple[list[str], DataFrame]:
+    def register_procedure(self, name: str, inputs: list[str], table: DataFrame, types: list[str] | None = None) -> None:
+        """A table that CALL joins on its input columns; its other columns can be yielded. types: STRING, INTEGER, FLOAT or NUMBER of each input, `?` after it if null is allowed."""
+        self.procedures[name] = (inputs, table, types)
+
+    def procedure(self, name: str) -> tuple[list[str], DataFrame, list[str] | None]:
         if name not in self.procedures:
             raise ProcedureError("ProcedureNotFound", name)
         return self.procedures[name]
 
-    def node_table(self, labels: set[str]) -> DataFrame | None:
-        """Nodes of any of the labels, with `labels`; None if there is no such label."""
-        some = [self.nodes[x].withColumn("labels", F.array(F.lit(x))) for x in self.nodes if x in labels]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some) if some else None
+    def labelled(self, name: str) -> DataFrame:
+        df = self.nodes[name]
+        return df if "labels" in df.columns else df.withColumn("labels", F.array(F.lit(name)))
+
+    def node_table(self, labels: set[str] | None) -> DataFrame | None:
+        """Nodes of any of the labels (None: all), with `labels`; None if there is no such label."""
+        some = []
+        for x in self.nodes:
+            if labels is None or (x in labels and x not in self.mixed):
+                some.append(self.labelled(x))
+            elif x in self.mixed and self.mixed[x] & labels:
+                some.append(self.labelled(x).where(F.arrays_overlap("labels", F.array(*[F.lit(y) for y in sorted(labels)]))))
+        return reduce(aligned, some) if some else None
 
     def rel_table(self, types: list[str]) -> DataFrame | None:
         """Relationships of any of the types (none given: all), with `type`."""
         some = [df.withColumn("type", F.lit(t)) for t, (df, _, _) in self.rels.items() if not types or t in types]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some) if some else None
+        return reduce(aligned, some) if some else None
 
-    def endpoint_labels(self, types: list[str], end: int) -> set[str]:
-        """Labels that the start (1) or end (2) of such relationships can have."""
+    def endpoint_labels(self, types: list[str], end: int) -> set[str] | None:
+        """Labels that the start (1) or end (2) of such relationships can have; None: any."""
         found = {r[end] for t, r in self.rels.items() if not types or t in types}
-        return set(self.nodes) if None in found else found
+        return None if None in found or self.mixed else found
 
     def dangling(self) -> DataFrame:
         """(type, id) of relationships whose start or end is missing: empty in a sound graph."""
-        ids = self.node_table(set(self.nodes)).select(F.col("id").alias("n"))
+        ids = self.node_table(None).select(F.col("id").alias("n"))
         rels = self.rel_table([]).select("type", "id", "start", "end")
         return rels.join(ids, F.col("start") == F.col("n"), "left_anti").union(rels.join(ids, F.col("end") == F.col("n"), "left_anti")).select("type", "id").distinct()
 
+    def counts(self) -> DataFrame:
+        """(kind, name, n): nodes of each label and relationships of each type."""
+        nodes = self.node_table(None).select(F.lit("node").alias("kind"), F.explode("labels").alias("name"))
+        return nodes.union(self.rel_table([]).select(F.lit("relationship"), "type")).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+    # -- changes: each gives a new graph -----------------------------------------------------------
+
+    def greatest_id(self) -> int:
+        """The greatest id of any node or relationship, 0 if there is none."""
+        tables = [*self.nodes.values(), *[df for df, _, _ in self.rels.values()]]
+        if not tables:
+            return 0
+        return reduce(DataFrame.union, [t.agg(F.max("id").alias("m")) for t in tables]).agg(F.max("m")).first()[0] or 0
+
+    def with_nodes(self, labels: list[str], rows: DataFrame) -> PropertyGraph:
+        name = labels[0] if labels else ""
+        if len(labels) != 1 or name in self.mixed:
+            rows = rows.withColumn("labels", F.array(*[F.lit(x) for x in labels]).cast("array<string>"))
+            table = aligned(self.labelled(name), rows) if name in self.nodes else rows
+            return self.changed({name: table}, mixed={name: self.mixed.get(name, {name} if name in self.nodes else set()) | set(labels)})
+        return self.changed({name: aligned(self.nodes[name], rows) if name in self.nodes else rows})
+
+    def with_rels(self, name: str, rows: DataFrame, ends: tuple[str | None, str | None]) -> PropertyGraph:
+        if name not in self.rels:
+            return self.changed(rels={name: (rows, *ends)})
+        before = self.rels[name]
+        return self.changed(rels={name: (aligned(before[0], rows), *[x if x == y else None for x, y in zip(before[1:], ends, strict=True)])})
+
+    def assigned(self, kind: str, found: DataFrame, prop: str, where: set[str] | None = None) -> PropertyGraph:
+        """Property prop set to value at the ids of found (uid, value, and utype for relationships); where: the tables that may hold them."""
+
+        def put(df: DataFrame, found: DataFrame = found) -> DataFrame:
+            value = found.schema["value"].dataType
+            if prop in df.columns:
+                own = df.schema[prop].dataType
+                wide = value if isinstance(own, T.NullType) else own if own == value or isinstance(value, T.NullType) else T.DoubleType() if isinstance(own, T.NumericType) and isinstance(value, T.NumericType) else T.StringType()
+                old = F.col(f"`{prop}`").cast(wide)
+            else:
+                wide, old = value, F.lit(None).cast(value)
+            both = df.join(found.select("uid", F.col("value").cast(wide).alias("#value")), F.col("id") == F.col("uid"), "left")
+            return both.withColumn(prop, F.when(F.col("uid").isNotNull(), F.col("#value")).otherwise(old)).drop("uid", "#value")
+
+        if kind == "node":
+            return self.changed({x: put(df) for x, df in self.nodes.items() if where is None or x in where})
+        return self.changed(rels={x: (put(df, found.where(F.col("utype") == x)), a, b) for x, (df, a, b) in self.rels.items() if where is None or x in where})
+
+    def relabelled(self, found: DataFrame, labels: list[str], add: bool) -> PropertyGraph:
+        """Labels added to or taken from the nodes of found (uid)."""
+        own = F.array(*[F.lit(x) for x in labels])
+        nodes, mixed = {}, {}
+        for x in self.nodes:
+            both = self.labelled(x).join(found.select("uid"), F.col("id") == F.col("uid"), "left")
+            new = F.array_union("labels", own) if add else F.array_except("labels", own)
+            nodes[x] = both.withColumn("labels", F.when(F.col("uid").isNotNull(), new).otherwise(F.col("labels"))).drop("uid")
+            mixed[x] = self.mixed.get(x, {x}) | (set(labels) if add else set())
+        return self.changed(nodes, mixed=mixed)
+
+    def without_nodes(self, ids: DataFrame) -> PropertyGraph:
+        return self.changed({x: df.join(ids, F.col("id") == F.col("uid"), "left_anti") for x, df in self.nodes.items()})
+
+    def without_rels(self, ids: DataFrame) -> PropertyGraph:
+        """Without the relationships of ids (utype, uid)."""
+        return self.changed(rels={x: (df.join(ids.where(F.col("utype") == x), F.col("id") == F.col("uid"), "left_anti"), a, b) for x, (df, a, b) in self.rels.items()})
+
+    def incident(self, ids: DataFrame) -> DataFrame:
+        """(utype, uid) of the relationships that start or end at the nodes of ids (uid)."""
+        table = self.rel_table([])
+        if table is None:
+            return ids.sparkSession.createDataFrame([], "utype string, uid long")
+        nodes = ids.select(F.col("uid").alias("#n"))
+        ends = [table.join(nodes, F.col(e) == F.col("#n"), "left_semi") for e in ("start", "end")]
+        return ends[0].union(ends[1]).select(F.col("type").alias("utype"), F.col("id").alias("uid")).distinct()
+
 
 def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The test tables as a graph: business tables, events of users, documents and their labels."""
