@@ -564,15 +564,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_pairs = pairs.count()
     roots = None
 
-    def sets_of(some: DataFrame) -> Stash:
+    def sets_of(some: DataFrame) -> DataFrame:
+        # read once, by verify, whose join finds them dealt by class already
         involved = some.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         reps = classes.join(involved, "cls", "left_semi").select(F.coalesce("rep", F.lit(int(LAST))).alias("doc")).distinct()
-        return Stash(candidate_sets(base, reps, order).dropDuplicates(["cls"]), "sets")
+        return candidate_sets(base, reps, order).dropDuplicates(["cls"])
 
     n_groups = groups.count()
     if n_pairs or n_groups:
-        sets = sets_of(pairs)
-        links = Stash(verify(pairs, sets.df, n_pairs), "links")
+        links = Stash(verify(pairs, sets_of(pairs), n_pairs), "links")
         roots, trees = components(links.df)
         k = LEADERS
         while n_groups:
@@ -580,10 +580,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             more = Stash(remaining_pairs(groups, roots, signatures, n_groups, k), "pairs")
             n_more, incomplete = more.df.agg(F.count("a"), F.count(F.when(F.col("a").isNull(), 1))).first()
             if n_more:
-                sets.drop()
                 some = more.df.where("a is not null")
-                sets = sets_of(some)
-                after = Stash(links.df.union(verify(some, sets.df, n_more)), "links")
+                after = Stash(links.df.union(verify(some, sets_of(some), n_more)), "links")
                 links.drop()
                 trees.drop()
                 links = after
@@ -591,7 +589,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             more.drop()
             if not incomplete:
                 break
-        sets.drop()
         held += [links, trees]
     if roots is None:
         named = classes.select(F.col("cls").alias("c"), F.col("rep").alias("least"))
