@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.compiler import cypher
+from ..plans.compiler import cypher, execute
+from ..plans.graphql import graphql_frames
 from ..sources.graph import star_graph
+from . import kv
 
 K = 48
 
@@ -162,6 +165,99 @@ GRAPH_QUERIES: dict[str, tuple[str, str]] = {
         "MATCH (a:Part {key: 5})<-[:CONTAINS]-(o)-[:CONTAINS]->(b:Part) WHERE b.key <> 5 RETURN b.key AS b, count(DISTINCT o) AS n",
         "SELECT y.l_partkey AS b, count(DISTINCT y.l_orderkey) AS n FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE x.l_partkey = 5 AND y.l_partkey <> 5 GROUP BY 1",
     ),
+    "two_hop": (
+        "MATCH (r:Region)<-[:IN_REGION]-(n)<-[:BASED_IN]-(s) RETURN r.name AS region, count(s) AS n",
+        "SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
+    ),
+    "lookup_by_id": (f"MATCH (c:Customer) WHERE id(c) = {(3 << K) + 42} RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE c_custkey = 42"),
+    "rel_limit": ("MATCH ()-[r:SUPPLIES]->() WITH r LIMIT 100 RETURN count(r) AS n", "SELECT least(count(*), 100) AS n FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)"),
+    "bound_rel": (
+        "MATCH (:Customer)-[r:PLACED]->(o:Order) WHERE o.status = 'P' WITH r MATCH (a)-[r]->(b) RETURN a.key AS c, b.key AS o",
+        "SELECT o_custkey AS c, o_orderkey AS o FROM orders WHERE o_orderstatus = 'P'",
+    ),
+    "bound_end": (
+        "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) MATCH (s:Supplier {key: 3})-[:BASED_IN]->(n) RETURN c.key AS c",
+        "SELECT c_custkey AS c FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey = 3",
+    ),
+    "bound_rel_list": (
+        "MATCH (u:User)-[:DID]->(a:Event)-[rs:NEXT*2]->() WHERE u.key < 20 WITH a, rs MATCH (a)-[rs*]->(b) RETURN a.key AS a, b.key AS b",
+        "SELECT a, b FROM (SELECT event_id a, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events WHERE user_id < 20) WHERE b IS NOT NULL",
+    ),
+    "varlen_rel_list": (
+        "MATCH (u:User)-[:DID]->(a:Event)-[rs:NEXT*2]->() WHERE u.key < 20 UNWIND rs AS r RETURN a.key AS a, id(r) AS r",
+        "WITH e AS (SELECT event_id AS a, lead(event_id) OVER w AS b, lead(event_id, 2) OVER w AS c FROM events WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT a, a AS r FROM e WHERE c IS NOT NULL UNION ALL SELECT a, b FROM e WHERE c IS NOT NULL",
+    ),
+    "varlen_after_step": (
+        "MATCH (a:Event)-[:NEXT]->(b)-[:NEXT*1..2]-(c) RETURN count(*) AS n",
+        "SELECT sum(greatest(k - 2, 0) + greatest(k - 3, 0))::BIGINT AS n FROM (SELECT count(*) k FROM events GROUP BY user_id)",
+    ),
+    "start_node": ("MATCH ()-[r:IN_REGION]->() RETURN startNode(r).name AS n, endNode(r).name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "path_nodes": (
+        "MATCH p = (r:Region)<-[:IN_REGION]-(n)<-[:BASED_IN]-(s) RETURN s.key AS s, nodes(p)[0].name + '/' + nodes(p)[1].name AS way, size([x IN relationships(p) WHERE type(x) = 'BASED_IN']) AS k",
+        "SELECT s_suppkey AS s, r_name || '/' || n_name AS way, 1::BIGINT AS k FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey",
+    ),
+    "exists_full": (
+        "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o) WITH c, count(o) AS n WHERE n > 14 RETURN true } RETURN c.key AS c",
+        "SELECT o_custkey AS c FROM orders GROUP BY 1 HAVING count(*) > 14",
+    ),
+    "cross_type": ("MATCH (p:Part) RETURN p.key AS k, p.size = p.type AS e, p.size <> p.type AS d, p.size < p.type AS l", "SELECT p_partkey AS k, false AS e, true AS d, NULL::BOOLEAN AS l FROM part"),
+    "single_null": (
+        "MATCH (n:Nation) WITH n, CASE WHEN n.key > 10 THEN null ELSE n.key END AS v RETURN n.key AS k, single(x IN [v, 3] WHERE x = 3) AS s, [v, 1] = [2, 1] AS e",
+        "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey <= 10 THEN n_nationkey <> 3 END AS s, CASE WHEN n_nationkey <= 10 THEN n_nationkey = 2 END AS e FROM nation",
+    ),
+    "list_types": (
+        "MATCH (n:Nation) RETURN n.key AS k, [x IN [n.key] | x / 2][0] AS h, [x IN [n.name] | x + '!'][0] AS s, size([x IN [[n.key], []] | size(x)]) AS z",
+        "SELECT n_nationkey::BIGINT AS k, (n_nationkey // 2)::BIGINT AS h, n_name || '!' AS s, 2::BIGINT AS z FROM nation",
+    ),
+    "map_literal": ("MATCH (n:Nation) RETURN {a: n.key, b: {c: n.name}}.b.c AS c, n['name'] AS name, {a: n.key}['a'] AS a", "SELECT n_name AS c, n_name AS name, n_nationkey::BIGINT AS a FROM nation"),
+    "list_funcs": (
+        "MATCH (n:Nation) RETURN n.key AS k, head([n.key, 7]) AS h, last([n.key, 7]) AS l, size(tail([n.key, 7])) AS t, properties(n).name AS name, reverse([n.key, 7])[0] AS r",
+        "SELECT n_nationkey::BIGINT AS k, n_nationkey::BIGINT AS h, 7::BIGINT AS l, 1::BIGINT AS t, n_name AS name, 7::BIGINT AS r FROM nation",
+    ),
+    "distinct_on_groups": ("MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(o) AS n RETURN DISTINCT n", "SELECT DISTINCT count(*) AS n FROM orders GROUP BY o_custkey"),
+    "return_all": ("MATCH (r:Region) WITH r.key AS k, r.name AS name RETURN *", "SELECT r_regionkey::BIGINT AS k, r_name AS name FROM region"),
+    "date_parse": (
+        "MATCH (r:Region) RETURN r.key AS k, toString(date('2015-W30-2')) AS w, toString(date('2015-202')) AS o, toString(date({year: 1984, week: 10, dayOfWeek: 3})) AS m, toString(datetime('2015-07-21T21:40:32+01:00')) AS z, toString(time('214032.142+0100')) AS t",
+        "SELECT r_regionkey::BIGINT AS k, '2015-07-21' AS w, '2015-07-21' AS o, '1984-03-07' AS m, '2015-07-21T21:40:32+01:00' AS z, '21:40:32.142+01:00' AS t FROM region",
+    ),
+    "date_plus_duration": (
+        "MATCH (o:Order) RETURN o.key AS k, date(o.orderdate) + duration('P1M2D') AS d, date(o.orderdate) - duration({weeks: 1}) AS e",
+        "SELECT o_orderkey AS k, (o_orderdate::DATE + INTERVAL 1 MONTH + INTERVAL 2 DAY)::DATE AS d, (o_orderdate::DATE - INTERVAL 7 DAY)::DATE AS e FROM orders",
+    ),
+    "duration_between": (
+        "MATCH (o:Order) WITH o.key AS k, date('1992-01-01') AS a, date(o.orderdate) AS b RETURN k, duration.inDays(a, b).days AS d, duration.between(a, b).months AS m, duration.between(a, b).days AS r",
+        "SELECT o_orderkey AS k, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS d, date_diff('month', DATE '1992-01-01', o_orderdate::DATE) AS m, (day(o_orderdate) - 1)::BIGINT AS r FROM orders",
+    ),
+    "duration_parts": (
+        "MATCH (e:Event) WITH e.key AS k, duration({months: e.key % 30, hours: e.key}) AS d RETURN k, d.years AS y, d.monthsOfYear AS m, d.seconds AS s, toString(d * 2) AS t",
+        "SELECT event_id AS k, (event_id % 30) // 12 AS y, (event_id % 30) % 12 AS m, event_id * 3600 AS s, CASE WHEN event_id = 0 THEN 'PT0S' ELSE 'P' || CASE WHEN (event_id % 30) * 2 // 12 > 0 THEN ((event_id % 30) * 2 // 12) || 'Y' ELSE '' END || CASE WHEN (event_id % 30) * 2 % 12 > 0 THEN ((event_id % 30) * 2 % 12) || 'M' ELSE '' END || 'T' || (event_id * 2) || 'H' END AS t FROM events",
+    ),
+    "epoch": (
+        "MATCH (e:Event) RETURN e.key AS k, e.ts.epochSeconds AS s, datetime.fromepoch(e.key, 0).epochMillis AS f, toString(date(datetime.fromepochmillis(e.key * 86400000))) AS d",
+        "SELECT event_id AS k, epoch_us(ts) // 1000000 AS s, event_id * 1000 AS f, strftime(DATE '1970-01-01' + event_id::INTEGER, '%Y-%m-%d') AS d FROM events WHERE event_id >= 0",
+    ),
+    "date_units": (
+        "MATCH (o:Order) WITH o.key AS k, date(o.orderdate) AS d RETURN k, d.week AS w, d.weekYear AS wy, d.dayOfQuarter AS q, date.truncate('week', d) AS t, date.truncate('decade', d) AS c",
+        "SELECT o_orderkey AS k, weekofyear(o_orderdate) AS w, isoyear(o_orderdate) AS wy, date_diff('day', date_trunc('quarter', o_orderdate), date_trunc('day', o_orderdate)) + 1 AS q, date_trunc('week', o_orderdate)::DATE AS t, make_date(year(o_orderdate) // 10 * 10, 1, 1) AS c FROM orders",
+    ),
+    "pickup_sums": ("MATCH (a:Supplier)-[r:SUPPLIES]->(:Part) RETURN a.name AS name, sum(r.n) AS n ORDER BY n DESC, name LIMIT 5", "SELECT s_name AS name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 ORDER BY n DESC, name LIMIT 5"),
+    "top_by_average": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.mktsegment AS s, avg(o.key) AS a, count(*) AS n ORDER BY s LIMIT 3",
+        "SELECT c_mktsegment AS s, avg(o_orderkey) AS a, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY s LIMIT 3",
+    ),
+    "largest_collected": (
+        "MATCH (n:Nation)<-[:LIVES_IN]-(c:Customer) WITH n, collect(c.name) AS held RETURN n.name AS name, size(held) AS k ORDER BY k DESC, name LIMIT 3",
+        "SELECT n_name AS name, count(*) AS k FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY k DESC, name LIMIT 3",
+    ),
+    "by_decade": ("MATCH (p:Part) RETURN toInteger(p.size / 10) * 10 AS d, count(*) AS n ORDER BY d", "SELECT (p_size // 10 * 10)::BIGINT AS d, count(*) AS n FROM part GROUP BY 1"),
+    "within_hops": (
+        "MATCH p = (a:Supplier {key: 1})-[:SUPPLIES*1..2]-(b) RETURN length(p) AS hops, count(*) AS n",
+        "WITH s AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem) SELECT 1::BIGINT AS hops, count(*) AS n FROM s WHERE s = 1 UNION ALL SELECT 2, count(*) FROM s x JOIN s y ON x.p = y.p AND y.s <> 1 WHERE x.s = 1",
+    ),
+    "self_named": (
+        "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)<-[:BASED_IN]-(s:Supplier) WHERE c.key = s.key RETURN DISTINCT n.name AS name",
+        "SELECT DISTINCT n_name AS name FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON n_nationkey = c_nationkey",
+    ),
 }
 
 
@@ -175,15 +271,82 @@ def _call_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cypher(graph, "MATCH (c:Customer) CALL tax.rate(c.mktsegment) YIELD rate AS r RETURN r, count(*) AS n", spark)
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key-value log of the events: one database for each user's number modulo 3, deletions at errors."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('db', user_id % 3) AS db", "concat('user:', user_id) AS key", "cast(value AS string) AS value", "event_id AS seq", "if(event_type = 'error', 'DELETE', 'PUT') AS op")
+
+
 def _kv_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .kv import replay
+    return kv.replay(_log(spark, sf_dir).drop("db")).select("key", "value")
+
+
+def _kv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.log import followed
+
+    return followed(spark, f"{sf_dir}/events.parquet", lambda rows: rows.selectExpr("concat('user:', user_id) AS key", "cast(value AS string) AS value", "event_id AS seq", "if(event_type = 'error', 'DELETE', 'PUT') AS op")).select("key", "value")
+
+
+def _changed(change: str, then: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cypher(execute(star_graph(spark, sf_dir), change, spark)[1], then, spark)
+
+    return run
 
-    log = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('user:', user_id) AS key", "cast(value AS string) AS value", "event_id AS seq", "if(event_type = 'error', 'DELETE', 'PUT') AS op")
-    return replay(log).select("key", "value")
 
+def _gql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graphql_frames(star_graph(spark, sf_dir), '{ c: nodes(label: "Customer") { id kind: labels } }', spark)["c"]
+    return found.select(F.col("value.id").alias("id"), F.col("value.kind")[0].alias("kind"))
 
-GRAPH_CALLABLES = {name: _query(text) for name, (text, _) in GRAPH_QUERIES.items()} | {"call_args": _call_args, "kv_replay": _kv_replay}
-GRAPH_SQL = {name: sql for name, (_, sql) in GRAPH_QUERIES.items()} | {
+
+def _gql_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'query ($l: String = "Nation") { nodes(label: $l) { id in(type: "BASED_IN") { id from { ...F } } out { to { id } } } } fragment F on Node { labels }'
+    found = graphql_frames(star_graph(spark, sf_dir), text, spark)["nodes"]
+    return found.select("id", F.size("value.in").cast("long").alias("n"), F.array_min(F.transform("value.in", lambda x: x["id"])).alias("least"), F.col("value.out")[0]["to"]["id"].alias("region"))
+
+
+#: name -> (change, query of the graph after it, SQL)
+CHANGES = {
+    "upd_create": (
+        "MATCH (c:Customer) WHERE c.key < 50 CREATE (c)-[:HOLDS {since: 1}]->(a:Account {of: c.key})",
+        "MATCH (c:Customer)-[h:HOLDS]->(a:Account) RETURN c.key AS c, a.of AS o, h.since AS s",
+        "SELECT c_custkey AS c, c_custkey AS o, 1::BIGINT AS s FROM customer WHERE c_custkey < 50",
+    ),
+    "upd_merge": (
+        "MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON CREATE SET s.new = true MERGE (c)-[:IN]->(s)",
+        "MATCH (c:Customer)-[:IN]->(s:Segment) RETURN s.name AS name, s.new AS new, count(c) AS n",
+        "SELECT c_mktsegment AS name, true AS new, count(*) AS n FROM customer GROUP BY 1",
+    ),
+    "upd_set": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) SET n.region = r.name, n:Place", "MATCH (n:Place) RETURN n.name AS name, n.region AS region", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "upd_remove": ("MATCH (p:Part) WHERE p.size > 25 REMOVE p.size", "MATCH (p:Part) WHERE p.size IS NULL RETURN p.key AS k", "SELECT p_partkey AS k FROM part WHERE p_size > 25"),
+    "upd_detach_delete": (
+        "MATCH (o:Order {status: 'P'}) DETACH DELETE o",
+        "MATCH ()-[r:PLACED|CONTAINS]->() RETURN type(r) AS t, count(*) AS n",
+        "SELECT 'PLACED' AS t, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'",
+    ),
+}
+_LAST = "SELECT db, key, value FROM (SELECT 'db' || (user_id % 3) AS db, 'user:' || user_id AS key, arg_max(event_id, event_id) AS e, arg_max(event_type, event_id) AS op FROM events GROUP BY user_id) JOIN (SELECT event_id, value::VARCHAR AS value FROM events) ON e = event_id WHERE op <> 'error'"
+
+GRAPH_CALLABLES = {name: _query(text) for name, (text, _) in GRAPH_QUERIES.items()} | {name: _changed(change, then) for name, (change, then, _) in CHANGES.items()} | {
+    "call_args": _call_args,
+    "kv_replay": _kv_replay,
+    "kv_stream": _kv_stream,
+    "kv_prefix_scan": lambda spark, sf_dir: kv.prefix_scan(kv.replay(_log(spark, sf_dir)).select("key", "value"), "user:1"),
+    "kv_scan_page": lambda spark, sf_dir: kv.prefix_scan(kv.replay(_log(spark, sf_dir)).select("key", "value"), "user:", 5, 20),
+    "kv_scan_fast": lambda spark, sf_dir: kv.scan_fast(kv.replay(_log(spark, sf_dir)).select("key", "value"), "user:2"),
+    "db_counts": lambda spark, sf_dir: kv.database_counts(kv.replay(_log(spark, sf_dir))),
+    "graph_counts": lambda spark, sf_dir: star_graph(spark, sf_dir).counts().where("name IN ('Order', 'Part', 'PLACED', 'NEXT')"),
+    "gql_nodes": _gql_nodes,
+    "gql_nested": _gql_nested,
+}
+GRAPH_SQL = {name: sql for name, (_, sql) in GRAPH_QUERIES.items()} | {name: sql for name, (_, _, sql) in CHANGES.items()} | {
     "call_args": "SELECT r, count(*) AS n FROM customer JOIN (VALUES ('BUILDING', 5::BIGINT), ('MACHINERY', 7::BIGINT)) t(s, r) ON s = c_mktsegment GROUP BY 1",
-    "kv_replay": "SELECT key, value FROM (SELECT 'user:' || user_id AS key, arg_max(event_id, event_id) AS e, arg_max(event_type, event_id) AS op FROM events GROUP BY user_id) JOIN (SELECT event_id, value::VARCHAR AS value FROM events) ON e = event_id WHERE op <> 'error'",
+    "kv_replay": f"SELECT key, value FROM ({_LAST})",
+    "kv_stream": f"SELECT key, value FROM ({_LAST})",
+    "kv_prefix_scan": f"SELECT key, value FROM ({_LAST}) WHERE starts_with(key, 'user:1') ORDER BY key",
+    "kv_scan_page": f"SELECT key, value FROM ({_LAST}) ORDER BY key OFFSET 5 LIMIT 20",
+    "kv_scan_fast": f"SELECT key, value FROM ({_LAST}) WHERE starts_with(key, 'user:2')",
+    "db_counts": f"SELECT db, count(*) AS n FROM ({_LAST}) GROUP BY 1",
+    "graph_counts": "SELECT 'node' AS kind, 'Order' AS name, count(*) AS n FROM orders UNION ALL SELECT 'node', 'Part', count(*) FROM part UNION ALL SELECT 'relationship', 'PLACED', count(*) FROM orders UNION ALL SELECT 'relationship', 'NEXT', count(*) - count(DISTINCT user_id) FROM events",
+    "gql_nodes": f"SELECT (3::BIGINT << {K}) + c_custkey AS id, 'Customer' AS kind FROM customer",
+    "gql_nested": f"SELECT (2::BIGINT << {K}) + n_nationkey AS id, count(s_suppkey) AS n, min(s_suppkey) AS least, (1::BIGINT << {K}) + any_value(n_regionkey) AS region FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey",
 }

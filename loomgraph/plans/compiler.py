@@ -425,7 +425,7 @@ class Plan(Updates):
                     return col(f"{var}$id")
                 if name == "type" and kind[0] != "node":
                     return col(f"{var}$type")
-                if name in ("type", "labels") and name == ("type" if kind[0] == "node" else "labels"):
+                if (name, kind[0]) in (("type", "node"), ("labels", "rel")):
                     raise CypherSyntaxError("InvalidArgumentType", f"{name} of a {kind[0]}")
                 self.complete(var)
                 if name == "labels":

@@ -206,7 +206,14 @@ class Updates:
         value, t = self.typed(e, {})
         if isinstance(t, (T.StructType, T.MapType)) and not self.storable(t):
             raise CypherTypeError("InvalidPropertyType", key)
-        self.put(var, key, value.cast("string") if isinstance(t, T.NullType) else value, only)
+        self.put(var, key, self.no_value(var, key) if isinstance(t, T.NullType) else value, only)
+
+    def no_value(self, var: str, key: str) -> Column:
+        """Null of the type that the property has."""
+        if self.kind(var) == "node":
+            self.complete(var)
+        name = f"{var}${key}"
+        return F.lit(None).cast(self.df.schema[name].dataType if name in self.df.columns else "string")
 
     def put(self, var: str, key: str, value: Column, only: Column | None) -> None:
         kind = self.target(var)
@@ -233,7 +240,7 @@ class Updates:
         values = {}
         for k, x in given.items():
             value, t = self.typed(x, {})
-            values[k] = (f"#v{len(values)}", value.cast("string") if isinstance(t, T.NullType) else value)
+            values[k] = (f"#v{len(values)}", self.no_value(var, k) if isinstance(t, T.NullType) else value)
         self.df = held(self.df.withColumns({n: c for n, c in values.values()}))
         for k, (n, _) in values.items():
             self.put(var, k, col(n), only)

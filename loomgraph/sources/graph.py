@@ -110,6 +110,8 @@ class PropertyGraph:
 
         def put(df: DataFrame, found: DataFrame = found) -> DataFrame:
             value = found.schema["value"].dataType
+            if (prop not in df.columns or df.schema[prop].dataType != value) and df.join(found, F.col("id") == F.col("uid"), "left_semi").isEmpty():
+                return df  # none of its rows is meant, so its columns stay as they are
             if prop in df.columns:
                 own = df.schema[prop].dataType
                 wide = value if isinstance(own, T.NullType) else own if own == value or isinstance(value, T.NullType) else T.DoubleType() if isinstance(own, T.NumericType) and isinstance(value, T.NumericType) else T.StringType()

@@ -1,11 +0,0 @@
-"""The key-value log as a stream: appended entries are folded into the last write of each key."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def running_state(log: DataFrame) -> DataFrame:
-    """Last (op, value) of each key of a streaming or batch log; write with output mode complete or update."""
-    return log.groupBy("key").agg(F.max_by(F.struct("op", "value"), "seq").alias("last")).select("key", "last.op", "last.value")
