@@ -147,24 +147,30 @@ FIELDS = "bucket int, known boolean, doc binary, key binary, start binary, h1 bi
 def suspect_rows(batches, sketch, bits: int, buckets: int):
     """Suspected windows for the exact grouping, packed for each bucket.
 
-    known=false: the earliest of each set of equal windows that the task has met, dealt by anchor;
-    known=true: those it knows to be repeats, dealt by document, for which no hash is needed.
+    known=false: the earliest of each set of equal windows that the task has met, dealt by anchor, those
+    of a document side by side, so that they compress; known=true: word ranges of windows that it knows
+    to be repeats, dealt by document: start holds the ranges, h1 their lengths in bytes.
     """
 
-    def pack(at: np.ndarray, known: bool, columns: list[np.ndarray]):
-        order = np.argsort(at, kind="stable")
+    def pack(at: np.ndarray, known: bool, columns: list[np.ndarray], ranges: list[bytes] | None = None):
+        order = np.lexsort((columns[2], columns[0], at)) if ranges is None else np.argsort(at, kind="stable")
         at = at[order]
         cut, ends = runs(at)
-        data = [pa.array([c[order[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for c in columns]
-        data += [pa.array([b""] * len(cut), pa.binary())] * (5 - len(data))
-        return pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array([known] * len(cut)), *data], [f.split()[0] for f in FIELDS.split(", ")])
+        parts = [order[a:b] for a, b in zip(cut, ends, strict=True)]
+        data = [[c[k].tobytes() for k in parts] for c in columns]
+        if ranges is not None:
+            data.append([b"".join(ranges[i] for i in k) for k in parts])
+            data.append([np.array([len(ranges[i]) for i in k], np.int64).tobytes() for k in parts])
+        data += [[b""] * len(cut)] * (5 - len(data))
+        return pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array([known] * len(cut)), *[pa.array(x, pa.binary()) for x in data]], [f.split()[0] for f in FIELDS.split(", ")])
 
     def flush(held):
         h1, h2, anchor, doc, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
         order, later = split_repeats(h1, h2, doc, key, start)
         first, known = order[~later], order[later]
         yield pack((anchor[first] % U64(buckets)).astype(np.int64), False, [x[first] for x in (doc, key, start, h1, h2)])
-        yield pack((mix(doc[known].astype(np.uint64)) % U64(buckets)).astype(np.int64), True, [x[known] for x in (doc, key, start)])
+        docs, keys, ranges = ranges_by_document(*(x[known] for x in (doc, key, start)))
+        yield pack((mix(docs.astype(np.uint64)) % U64(buckets)).astype(np.int64), True, [docs, keys], ranges)
 
     held, total = [], 0
     for rows in chunks(batches):
@@ -188,19 +194,24 @@ def suspect_rows(batches, sketch, bits: int, buckets: int):
 
 def exact_groups(table):
     """One bucket: word ranges of each document that windows starting earlier elsewhere repeat."""
-    parts: dict[bool, list] = {False: [], True: []}
+    kinds = {"doc": np.int64, "key": np.int64, "start": np.int32, "h1": np.uint64, "h2": np.uint64}
+    first, docs, keys, data = [], [], [], []
     for r in table.to_pylist():
-        kinds = {"doc": np.int64, "key": np.int64, "start": np.int32, "h1": np.uint64, "h2": np.uint64}
-        parts[r["known"]].append([np.frombuffer(r[k], t) for k, t in kinds.items()])
-    out = []
-    if parts[False]:
-        doc, key, start, h1, h2 = (np.concatenate(x) for x in zip(*parts[False], strict=True))
+        if not r["known"]:
+            first.append([np.frombuffer(r[k], t) for k, t in kinds.items()])
+            continue
+        docs.append(np.frombuffer(r["doc"], np.int64))
+        keys.append(np.frombuffer(r["key"], np.int64))
+        ends = np.cumsum(np.frombuffer(r["h1"], np.int64)).tolist()
+        data += [r["start"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    if first:
+        doc, key, start, h1, h2 = (np.concatenate(x) for x in zip(*first, strict=True))
         order, later = split_repeats(h1, h2, doc, key, start)
-        out.append([x[order[later]] for x in (doc, key, start)])
-    if parts[True]:
-        out.append([np.concatenate(x) for x in list(zip(*parts[True], strict=True))[:3]])
-    doc, key, data = ranges_by_document(*(np.concatenate(x) for x in zip(*out, strict=True)))
-    return pa.table({"doc": pa.array(doc, pa.int64()), "key": pa.array(key, pa.int64()), "ranges": pa.array(data, pa.binary())})
+        own = ranges_by_document(*(x[order[later]] for x in (doc, key, start)))
+        docs.append(own[0])
+        keys.append(own[1])
+        data += own[2]
+    return pa.table({"doc": pa.array(np.concatenate(docs), pa.int64()), "key": pa.array(np.concatenate(keys), pa.int64()), "ranges": pa.array(data, pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
