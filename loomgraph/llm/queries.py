@@ -109,4 +109,29 @@ p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.s
 SELECT doc_id, source, size, source_size, target, (size * epochs + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken FROM p
 """
 
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op5_decontamination": OP5_SQL, "op10_source_mixing": OP10_SQL}
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[t.i:t.i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 75 * (p.k + q.k - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.id WHERE r.m < e.b)
+SELECT id AS doc_id, coalesce(any_value(k), 0)::BIGINT AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id
+"""
+
+#: Lines within an edit: equal but for one place (s keeps a mark there), or one is the other with a character left out.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+j AS (SELECT doc_id, t.i - 1 AS pos, lines[t.i] AS line FROM d, unnest(range(1, len(lines) + 1)) AS t(i) WHERE regexp_matches(lines[t.i], '[^\x20\x09-\x0D]')),
+c AS (SELECT line, length(line) AS n, min(struct_pack(doc_id, pos)) AS f FROM j GROUP BY line),
+v AS (SELECT line, n, f, t.i AS i, left(line, t.i - 1) AS a, substr(line, t.i + 1) AS z FROM c, unnest(range(1, n + 1)) AS t(i) WHERE n >= 20),
+changed AS (SELECT line FROM (SELECT line, f, min(f) OVER (PARTITION BY n, i, a, z) AS m FROM v) WHERE m < f),
+pairs AS (SELECT DISTINCT v.line AS x, v.f AS fx, c.line AS y, c.f AS fy FROM v JOIN c ON v.a || v.z = c.line AND c.n >= 20),
+gone AS (SELECT line FROM changed UNION SELECT CASE WHEN fx > fy THEN x ELSE y END FROM pairs),
+out AS (SELECT j.doc_id, j.pos FROM j JOIN c USING (line) WHERE struct_pack(doc_id := j.doc_id, pos := j.pos) <> c.f OR line IN (SELECT line FROM gone)),
+g AS (SELECT doc_id, count(*) AS k, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS s FROM out GROUP BY 1)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(k, 0)::BIGINT AS n_removed, coalesce(s, '') AS removed FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL, "op10_source_mixing": OP10_SQL}
