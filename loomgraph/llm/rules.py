@@ -3,7 +3,7 @@
 Five statistics of every text are transformed to a vector. For each language and source, each
 language and the whole table the minimum covariance determinant is estimated over the documents that pass the base rules:
 from two deterministic starts, concentration steps take mean and covariance of the three quarters
-of the documents nearest so far; the start with the smaller determinant gives the estimate. A
+of the documents nearest so far, until no group's determinant falls any more; the start with the smaller determinant gives the estimate. A
 document far from its group's estimate, by Mahalanobis distance, is rejected; if the group is small,
 the estimate of its language judges, and if that is small too, the one of the whole table. The distance adds to
 the group's covariance the error with which a text of that length tells each statistic, so what a
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import SPACE, Stash
 
 MIN_WORDS = 50
-#: Share of a group that an estimate covers, steps, and the smallest group that is judged by its own estimate.
-SUPPORT, STEPS, LEAST_GROUP = 0.75, 2, 40
+#: Share of a group that an estimate covers, and the smallest group that is judged by its own estimate.
+SUPPORT, LEAST_GROUP = 0.75, 40
+#: Steps end when no log determinant falls by FALL, and after MOST_STEPS in any case.
+FALL, MOST_STEPS = 1e-3, 12
 #: Scale that makes the covariance of the nearest 75 % of a 5-dimensional normal sample that of the whole.
 CONSISTENCY = 1.41
 #: Chi-square with 5 degrees of freedom at 1 - 1e-6; distances beyond it are outliers.
@@ -178,19 +180,33 @@ def starts(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(g_level, g_lang, g_source, size, em*, ea*, es*): the estimate of every group; rows hold level, lang, source and x0..x4."""
-    now = Stash(starts(rows), "mcd").df
-    for _ in range(STEPS):
-        near = rows.join(now, same_group()).select(*GROUP, "size", *[f"x{j}" for j in range(P)], distance("u").alias("du"), distance("v").alias("dv"))
-        cut = grouped(near).agg(F.percentile_approx("du", SUPPORT, 1000).alias("cu"), F.percentile_approx("dv", SUPPORT, 1000).alias("cv"))
-        cut = Stash(cut, "mcd").df
-        near = near.join(cut, same_group()).withColumn("inu", F.col("du") <= F.col("cu")).withColumn("inv", F.col("dv") <= F.col("cv"))
-        found = grouped(near).agg(F.count(F.lit(1)).alias("size"), *moments(near, "inu", "u"), *moments(near, "inv", "v"))
-        found = Stash(found, "mcd").df
-        both = whitener(found, "u", CONSISTENCY)
-        now = Stash(joined(both, whitener(found, "v", CONSISTENCY).drop("size")), "mcd").df
+    """(g_level, g_lang, g_source, size, em*, ea*, es*): the estimate of every group; rows hold level, lang, source and x0..x4.
+
+    A step that does not make a group's determinant smaller leaves that group's estimate as it was.
+    """
+    columns = [*KEYS, "size", *estimate_columns("u"), *estimate_columns("v")]
+    held = Stash(starts(rows), "mcd")
+    for step in range(MOST_STEPS):
+        now = held.df
+        near = rows.join(now.select(*KEYS, *[c for c in columns if c[1:2] in "ma"]), same_group())
+        near = near.select(*GROUP, *[f"x{j}" for j in range(P)], distance("u").alias("du"), distance("v").alias("dv"))
+        cut = Stash(grouped(near).agg(F.percentile_approx("du", SUPPORT, 1000).alias("cu"), F.percentile_approx("dv", SUPPORT, 1000).alias("cv")), "mcd")
+        near = near.join(cut.df, same_group()).withColumn("inu", F.col("du") <= F.col("cu")).withColumn("inv", F.col("dv") <= F.col("cv"))
+        found = Stash(grouped(near).agg(F.count(F.lit(1)).alias("size"), *moments(near, "inu", "u"), *moments(near, "inv", "v")), "mcd")
+        new = joined(whitener(found.df, "u", CONSISTENCY), whitener(found.df, "v", CONSISTENCY).drop("size"))
+        if step:  # the starts have no determinant
+            old = now.select(*[F.col(c).alias(c if c in KEYS else f"o_{c}") for c in columns])
+            both = joined(new, old)
+            falls = {t: F.col(f"{t}det") < F.col(f"o_{t}det") - FALL for t in "uv"}
+            new = both.select(*KEYS, "size", *[F.when(falls[c[0]], F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for t in "uv" for c in estimate_columns(t)], (falls["u"] | falls["v"]).alias("fell"))
+        after = Stash(new.select(*columns, "fell") if step else new.select(*columns, F.lit(True).alias("fell")), "mcd")
+        for x in (held, cut, found):
+            x.drop()
+        held = after
+        if held.df.where("fell").isEmpty():
+            break
     better = F.col("udet") <= F.col("vdet")
-    return now.select(*KEYS, "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")])
+    return held.df.select(*KEYS, "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")])
 
 
 def with_estimate(rows: DataFrame, fitted: DataFrame) -> DataFrame:
