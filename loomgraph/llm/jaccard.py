@@ -47,6 +47,8 @@ LEVEL_SHIFT = 59
 SMALL, FEW, LEADERS = 16, 64, 8
 #: Prefix n-grams that a task gathers before it deals them out; sets that one task compares with a hot leader.
 FLUSH, CHUNK = 1_000_000, 512
+#: Members of a group in a row of packed ones, and in one task of later rounds.
+PACKED, MEMBERS = 65_536, 20_000
 #: Bits of the parity signature by which pairs are turned down, in columns of 64.
 SIGNATURE = 512
 SIGS = [f"s{k}" for k in range(SIGNATURE // 64)]
@@ -286,7 +288,9 @@ def candidate_groups(table):
         found, complete = propose(members, n[a : a + size], place[a : a + size], members, SMALL, LEADERS)
         pairs.add(members[found[:, 0]], members[found[:, 1]])
         if not complete:
-            large.append((int(token[a : a + 1].view(np.int64)[0]), own, n[a : a + size].tobytes(), place[a : a + size].tobytes()))
+            for x in range(a, a + size, PACKED):
+                some = slice(x, min(a + size, x + PACKED))
+                large.append((int(token[a : a + 1].view(np.int64)[0]), cls[some].tobytes(), n[some].tobytes(), place[some].tobytes()))
     first, second = pairs.columns()
     m, g = len(first), len(large)
     column = lambda values, kind: pa.concat_arrays([pa.nulls(m, kind), pa.array(values, kind)])
@@ -496,9 +500,8 @@ def plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return both.where(7 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
-def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame, n_groups: int, k: int) -> DataFrame:
-    """The next pairs (a, b) of groups with several components; a row of nulls if there will be more."""
-    buckets = buckets_for(n_groups, 8, 24, 4096)
+def group_members(groups: DataFrame) -> DataFrame:
+    """(token, cls, n, place) of the packed groups."""
 
     def explode(batches):
         for b in batches:
@@ -506,27 +509,52 @@ def remaining_pairs(groups: DataFrame, roots: DataFrame, signatures: DataFrame,
                 cls = np.frombuffer(c, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), t)), pa.array(cls), *(pa.array(np.frombuffer(x, np.int32)) for x in (n, p))], ["token", "cls", "n", "place"])
 
-    members = groups.mapInArrow(explode, "token long, cls long, n int, place int")
-    members = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
-    several = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("token").alias("t"))
-    members = members.join(several, F.col("token") == F.col("t"), "left_semi").join(signatures.drop("n"), F.col("cls") == F.col("c")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    return groups.mapInArrow(explode, "token long, cls long, n int, place int")
+
+
+def led_members(members: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """members of groups with several components, with root, size (of the group), other (not of its largest component) and lead.
+
+    Where at most FEW are of other components those lead; else about k of each band of sizes, picked by
+    their hashes: bands are counted, not sorted, so that no group meets in one task.
+    """
+    rooted = members.join(roots, F.col("cls") == F.col("id"), "left").select("token", "cls", "n", "place", F.coalesce("root", "cls").alias("root"))
+    by_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    groups = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.sum("c").alias("size"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    rooted = rooted.join(groups, "token").withColumns({"other": F.col("root") != F.col("top"), "band": F.floor(F.log("n") / float(np.log(8 / 7)))})
+    bands = rooted.groupBy("token", "band", "other").agg(F.count(F.lit(1)).alias("in_band"))
+    share = F.pmod(F.xxhash64("cls", F.lit(k)), F.lit(1 << 30)) < F.lit(float(k) * (1 << 30)) / F.col("in_band")
+    return rooted.join(bands, ["token", "band", "other"]).select("token", "cls", "n", "place", "root", "size", "other", F.when(F.col("others") <= FEW, F.col("other")).otherwise(share).alias("lead"))
+
+
+def remaining_pairs(led: DataFrame, signatures: DataFrame, n_groups: int) -> DataFrame:
+    """Pairs (a, b) of leaders with members of other components. A group is dealt in chunks of its members, each of which gets all its leaders."""
+    buckets = buckets_for(n_groups, 8, 24, 4096)
+    rows = led.join(signatures.drop("n"), F.col("cls") == F.col("c")).withColumn("chunks", F.ceil(F.col("size") / MEMBERS).cast("int"))
+    columns = ["token", "cls", "n", "place", "root", *SIGS]
+    members = rows.select("chunks", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("leads"), *columns)
+    leaders = rows.where("lead").select("chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("leads"), *columns)
+    dealt = members.union(leaders).withColumn("bucket", F.pmod(F.xxhash64("token", "chunk"), F.lit(buckets)).cast("int"))
 
     def pairs(table):
-        token, cls, n, place, root = (table.column(k).to_numpy() for k in ("token", "cls", "n", "place", "root"))
-        order = np.lexsort((cls, token))
-        token, cls, n, place, root = token[order], cls[order], n[order], place[order], root[order]
-        sig = np.stack([table.column(k).to_numpy() for k in SIGS], 1).view(np.uint64)[order]
-        cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        out, more = Pairs(cls), False
-        for a, z in zip(cut, np.append(cut[1:], len(token)), strict=True):
-            found, complete = propose(cls[a:z], n[a:z], place[a:z], root[a:z], FEW, k, sig[a:z])
-            out.add(cls[a:z][found[:, 0]], cls[a:z][found[:, 1]])
-            more |= not complete
-        end = pa.nulls(int(more), pa.int64())
-        return pa.table({c: pa.concat_arrays([pa.array(x), end]) for c, x in zip("ab", out.columns(), strict=True)})
-
-    dealt = members.select("bucket", "token", "cls", "n", "place", "root", *SIGS).repartition(buckets, "bucket")
-    return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
+        get = lambda name: table.column(name).to_numpy()
+        order = np.lexsort((get("leads"), get("chunk"), get("token")))
+        token, chunk, leads, cls, n, place, root = (get(c)[order] for c in ("token", "chunk", "leads", "cls", "n", "place", "root"))
+        sig = np.stack([get(x) for x in SIGS], 1).view(np.uint64)[order]
+        n = n.astype(np.int64)
+        left = n - place
+        cut = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (chunk[1:] != chunk[:-1])]))
+        out = Pairs(cls)
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True):
+            own = slice(a, a + int((~leads[a:z]).sum()))
+            for i in range(own.stop, z):
+                both = n[own] + n[i]
+                some = np.flatnonzero((root[own] != root[i]) & compatible(n[own], n[i]) & (7 * np.minimum(left[own], left[i]) >= 3 * both))
+                some = some[7 * np.bitwise_count(sig[own][some] ^ sig[i]).sum(1, np.int64) <= both[some]]
+                out.add(cls[own][some], np.full(len(some), cls[i]))
+        return pa.table({c: pa.array(x) for c, x in zip("ab", out.columns(), strict=True)})
+
+    return dealt.select("bucket", "chunk", "leads", *columns).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -577,11 +605,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         k = LEADERS
         while n_groups:
             k *= 512
-            more = Stash(remaining_pairs(groups, roots, signatures, n_groups, k), "pairs")
-            n_more, incomplete = more.df.agg(F.count("a"), F.count(F.when(F.col("a").isNull(), 1))).first()
+            led = Stash(led_members(group_members(groups), roots, k), "members")
+            more = Stash(remaining_pairs(led.df, signatures, n_groups), "pairs")
+            incomplete = not led.df.where("other and not lead").isEmpty()
+            led.drop()
+            n_more = more.df.count()
             if n_more:
-                some = more.df.where("a is not null")
-                after = Stash(links.df.union(verify(some, sets_of(some), n_more)), "links")
+                after = Stash(links.df.union(verify(more.df, sets_of(more.df), n_more)), "links")
                 links.drop()
                 trees.drop()
                 links = after

@@ -125,7 +125,11 @@ def test_near_duplicates(docs, rows):
     assert collect(jaccard.near_duplicates(docs)) == sorted(expected, key=repr)
 
 
-def test_large_candidate_groups(spark):
+@pytest.mark.parametrize("tight", [False, True])
+def test_large_candidate_groups(spark, monkeypatch, tight):
+    if tight:  # several rounds, few leaders, groups in several rows and chunks
+        for name, value in (("SMALL", 2), ("FEW", 2), ("LEADERS", 1 / 512), ("MEMBERS", 12), ("PACKED", 10)):
+            monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(1)
     base = sentence(rng, 60, 5000).split()
     texts = []
