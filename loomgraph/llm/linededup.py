@@ -140,18 +140,20 @@ def judged_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     return base.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(2), "line"))
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b) of line hashes h1, a < b, that meet at a key. A key at which many lines meet is replaced by finer ones.
+def candidate_pairs(lines: DataFrame, stashes: list[Stash]) -> DataFrame:
+    """(a, b) of line hashes h1, a < b, that meet at a key, read from stashes that are added to the list. A key at which many lines meet is replaced by finer ones.
 
     Two lines within an edit meet at one of the finer keys again, so none of them is lost; the
     replacement ends where a single character is left out, at which lines that meet are linked.
     """
     slim = lines.select("h1", "line")
-    shared = Stash(shared_keys(first_entries(slim)), "line-keys").df
+    stashes.append(Stash(shared_keys(first_entries(slim)), "line-keys"))
+    shared = stashes[-1].df
     some = mapped(first_entries(slim), "key", hash_map(shared.select(F.col("key").alias("h"))))
     found = []
     while True:
-        held = Stash(some.join(shared, "key"), "line-entries").df
+        stashes.append(Stash(some.join(shared, "key"), "line-entries"))
+        held = stashes[-1].df
         few = (F.col("own") * (F.col("own") + F.col("far")) <= GROUP) | (F.col("hi") - F.col("lo") <= 1)
         found.append(meetings(held.where(few)))
         many = held.where(~few)
@@ -180,10 +182,15 @@ def mapped(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc, key, kept array<int>): positions of the judged lines of each document that stay."""
     first = F.min(F.struct("doc", "key", "pos")).alias("first")
-    classes = Stash(judged_lines(docs, short).groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("n").alias("n")), "lines").df
+    held = [Stash(judged_lines(docs, short).groupBy("h1", "h2").agg(first, F.first("line").alias("line"), F.first("n").alias("n")), "lines")]
+    classes = held[0].df
     # lines under LEAST_CHARS are repeats by their class alone
     long = classes.where(F.col("n") >= LEAST_CHARS)
-    pairs = Stash(candidate_pairs(long), "line-pairs")
+    stashes: list[Stash] = []
+    pairs = Stash(candidate_pairs(long, stashes), "line-pairs")
+    for x in stashes:
+        x.drop()
+    held.append(pairs)
     near = mapped(long, "h1", hash_map(pairs.df.select(F.explode(F.array("a", "b")).alias("h")))).select("h1", "h2", "first", F.split("line", "").alias("chars"))
     left, right = (near.select(*[F.col(c).alias(f"{c}_{s}") for c in near.columns]) for s in "ab")
     both = pairs.df.join(left, F.col("a") == F.col("h1_a")).join(right, F.col("b") == F.col("h1_b"))
@@ -191,7 +198,10 @@ def kept_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     later = F.col("first_a") > F.col("first_b")
     gone = linked.select(F.when(later, F.col("h1_a")).otherwise(F.col("h1_b")).alias("h1"), F.when(later, F.col("h2_a")).otherwise(F.col("h2_b")).alias("h2")).distinct()
     stay = classes.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti")
-    return stay.groupBy("first.doc", "first.key").agg(F.sort_array(F.collect_list("first.pos")).alias("kept"))
+    kept = Stash(stay.groupBy("first.doc", "first.key").agg(F.sort_array(F.collect_list("first.pos")).alias("kept")), "kept-lines")
+    for x in held:
+        x.drop()
+    return kept.df
 
 
 def positions(line_test) -> Column:

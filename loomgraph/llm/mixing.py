@@ -58,7 +58,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     Reruns agree, since keys depend on ids alone. Other columns of docs are not read.
     """
     base = docs.select("doc_id", "source", word_count("text").alias("size"), document_key(seed).alias("key"))
-    stash = Stash(base, "mix").df
+    held = Stash(base, "sizes")
+    stash = held.df
     rows = stash.count()
     digits = 1
     while 16**digits * PER_BUCKET < rows and digits < 8:
@@ -77,4 +78,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     epochs = F.coalesce(F.expr("div(cast(floor(target) as bigint), nullif(source_size, 0))"), F.lit(0))
     more = budget - epochs * F.col("source_size") - (F.col("offset") + F.col("inner"))
     taken = F.col("size") * epochs + F.greatest(F.lit(0), F.least(F.col("size"), more))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    out = Stash(out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")), "mix")
+    held.drop()
+    return out.df

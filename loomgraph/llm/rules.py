@@ -163,10 +163,11 @@ def with_distance(rows: DataFrame, tag: str) -> DataFrame:
     return rows.withColumn("distance", reduce(add, [F.col(f"z{j}") ** 2 for j in range(P)]))
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(rows: DataFrame) -> Stash:
     """Two diagonal starts for each group: spread by median deviation (u), and by the interquartile range (v)."""
     middle = grouped(rows).agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(f"x{j}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{j}") for j in range(P)])
-    middle = Stash(middle, "mcd").df
+    held = Stash(middle, "mcd")
+    middle = held.df
     near = rows.join(middle, same_group())
     spread = grouped(near).agg(*[F.percentile_approx(F.abs(F.col(f"x{j}") - F.col(f"q{j}")[1]), 0.5, 1000).alias(f"d{j}") for j in range(P)])
     out = joined(middle, spread)
@@ -176,16 +177,18 @@ def starts(rows: DataFrame) -> DataFrame:
         columns += [(1 / F.sqrt(width(j) ** 2 + FLOORS[j] ** 2) if j == k else F.lit(0.0)).alias(f"{tag}a{j}{k}") for j in range(P) for k in range(j + 1)]
         columns += [F.lit(0.0).alias(f"{tag}s{j}{k}") for j in range(P) for k in range(j + 1)]
         columns.append(F.lit(0.0).alias(f"{tag}det"))
-    return out.select(*columns)
+    out = Stash(out.select(*columns), "mcd")
+    held.drop()
+    return out
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """(g_level, g_lang, g_source, size, em*, ea*, es*): the estimate of every group; rows hold level, lang, source and x0..x4.
+def estimates(rows: DataFrame) -> tuple[DataFrame, Stash]:
+    """(g_level, g_lang, g_source, size, em*, ea*, es*): the estimate of every group, and the stash it is read from; rows hold level, lang, source and x0..x4.
 
     A step that does not make a group's determinant smaller leaves that group's estimate as it was.
     """
     columns = [*KEYS, "size", *estimate_columns("u"), *estimate_columns("v")]
-    held = Stash(starts(rows), "mcd")
+    held = starts(rows)
     for step in range(MOST_STEPS):
         now = held.df
         near = rows.join(now.select(*KEYS, *[c for c in columns if c[1:2] in "ma"]), same_group())
@@ -206,7 +209,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         if held.df.where("fell").isEmpty():
             break
     better = F.col("udet") <= F.col("vdet")
-    return held.df.select(*KEYS, "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")])
+    return held.df.select(*KEYS, "size", *[F.when(better, F.col(f"u{c[1:]}")).otherwise(F.col(f"v{c[1:]}")).alias(f"e{c[1:]}") for c in estimate_columns("u")]), held
 
 
 def with_estimate(rows: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -230,9 +233,14 @@ def judge(docs: DataFrame) -> DataFrame:
     the whole table, which judges whatever its size. Where base_failed, distance is null. A null
     text has no words and fails; null lang and source form groups of their own; repeated rows count as often as they stand; an empty table gives no rows. Other columns are not read.
     """
-    rows = Stash(statistics(docs).select("*", *[x.alias(f"x{j}") for j, x in enumerate(vector())]), "statistics").df
-    fitted = estimates(Stash(leveled(rows.where(~F.col("base_failed"))), "levels").df)
+    held = [Stash(statistics(docs).select("*", *[x.alias(f"x{j}") for j, x in enumerate(vector())]), "statistics")]
+    rows = held[0].df
+    held.append(Stash(leveled(rows.where(~F.col("base_failed"))), "levels"))
+    fitted, last = estimates(held[1].df)
     far = with_distance(with_estimate(rows, fitted), "e")
     far = far.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     kept = ~F.col("base_failed") & (F.col("distance") <= CUTOFF)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    out = Stash(far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance"), "judged")
+    for x in (*held, last):
+        x.drop()
+    return out.df
