@@ -442,9 +442,9 @@ class Plan(Updates):
                     return self.path_size(var, "rel")
                 if name in ("nodes", "relationships"):
                     return self.path_part(var, "node" if name == "nodes" else "rel")
-        if name == "size" and args[0][0] == "call" and args[0][1] in ("nodes", "relationships") and args[0][2][0][0] == "var" and self.kind(args[0][2][0][1]) == "path":
+        if name == "size" and args and args[0][0] == "call" and args[0][1] in ("nodes", "relationships") and args[0][2][0][0] == "var" and self.kind(args[0][2][0][1]) == "path":
             return self.path_size(args[0][2][0][1], "node" if args[0][1] == "nodes" else "rel")
-        if name == "size" and args[0][0] == "pcomp":
+        if name == "size" and args and args[0][0] == "pcomp":
             return self.pattern_comprehension(args[0], counted=True)
         if name.partition(".")[0] in temporal.KINDS or name in temporal.CURRENT:
             own, unit, fields = list(args), None, None
@@ -463,7 +463,10 @@ class Plan(Updates):
             return self.of_entity(name, *found[0])
         if name == "tostring" and temporal.kind_of(found[0][1]):
             return temporal.text(*found[0])
-        return scalar.call(name, [c for c, _ in found], [t for _, t in found])
+        try:
+            return scalar.call(name, [c for c, _ in found], [t for _, t in found])
+        except (IndexError, TypeError) as e:
+            raise CypherSyntaxError("InvalidNumberOfArguments", f"{name} of {len(found)}") from e
 
     def of_entity(self, name: str, x: Column, t: T.StructType) -> Column:
         """Functions of an entity that a list or map held."""

@@ -129,6 +129,8 @@ def test_parts_of_times(spark, town):
         ("MATCH (a) RETURN percentileDisc(a.age, 2) AS x", "NumberOutOfRange"),
         ("MATCH p = (a)-->() RETURN p.name AS x", "InvalidArgumentType"),
         ("RETURN 'a' =~ 'b' AS x", "UnexpectedSyntax"),
+        ("RETURN size() AS x", "InvalidNumberOfArguments"),
+        ("RETURN left('a') AS x", "InvalidNumberOfArguments"),
     ],
 )
 def test_faults(spark, town, query, kind):
