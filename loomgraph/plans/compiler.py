@@ -654,7 +654,7 @@ class Plan(Updates):
         starts = self.reach(chain[1], 0) if len(chain) > 1 else None
         step = chain[1] if len(chain) > 1 else None
         known = step is not None and self.kind(step[1]) in ("rel", "relist", "value")
-        late = step is not None and first[1] not in self.env and step[5] is None and not first[3] and (known or self.certain(first[2], starts))
+        late = step is not None and first[1] not in self.env and step[5] is None and (known or (self.certain(first[2], starts) and (not first[3] or self.carried(step, first, chain[2])[0] == first[1])))
         if step is not None and step[5] is not None and self.kind(step[1]) in ("relist", "value"):
             self.df = self.df.withColumn("#first", F.get(col(step[1]), F.lit(0))["start" if step[4] != "in" else "end"])
             self.bind_node(first, None, "#first")
@@ -688,6 +688,7 @@ class Plan(Updates):
 
     def single_step(self, rel, source, node, previous: list) -> None:
         _, var, types, props, direction, _ = rel
+        carrier = None
         if var in self.env:
             if self.kind(var) != "rel":
                 raise CypherSyntaxError("VariableTypeConflict", var)
@@ -697,9 +698,12 @@ class Plan(Updates):
                 self.df = self.df.where(col(f"{var}$type").isin(types))
             self.bind_node(source, None, f"{var}$from")
         else:
-            table = self.oriented(types, direction)
-            columns = [c for c in table.columns if c not in ("from", "to")]
-            table = table.select(*[col(c).alias(f"{var}${c}") for c in columns], col("from").alias(f"{var}$from"), col("to").alias(f"{var}$to"))
+            carrier, table = self.carried(rel, source, node)
+            table = self.oriented(types, direction) if table is None else table
+            columns = [c for c in table.columns if c not in ("from", "to") and not c.startswith("#n$")]
+            held_ = [c.removeprefix("#n$") for c in table.columns if c.startswith("#n$")]
+            own = [col(f"#n${c}").alias(f"{carrier}${c}") for c in held_] + ([col("from" if carrier == source[1] else "to").alias(f"{carrier}$id")] if held_ else [])
+            table = table.select(*[col(c).alias(f"{var}${c}") for c in columns], col("from").alias(f"{var}$from"), col("to").alias(f"{var}$to"), *own)
             if source[1] in self.env:
                 on = col(f"{source[1]}$id") == col(f"{var}$from")
                 if node[1] in self.env and self.kind(node[1]) == "node":
@@ -709,8 +713,13 @@ class Plan(Updates):
                 self.df = table if self.df is None else self.df.crossJoin(table)
                 if node[1] in self.env and node[1] != source[1]:
                     self.df = self.df.where(col(f"{node[1]}$id") == col(f"{var}$to"))
-                self.bind_node(source, self.reach(rel, 0), f"{var}$from")
+                if carrier != source[1]:
+                    self.bind_node(source, self.reach(rel, 0), f"{var}$from")
+            if carrier:
+                self.env[carrier] = ("node", ["id", *held_])
             self.env[var] = ("rel", columns)
+            if carrier == source[1]:
+                self.bind_node(source, None, None)
         for k, v in props:
             self.df = self.df.where(self.binary("=", ("prop", ("var", var), k), v, {}))
         for other, kinds, is_list in previous:
@@ -722,9 +731,21 @@ class Plan(Updates):
                     same = (col(f"{other}$id") == own[1]) & (col(f"{other}$type") == own[0])
                 self.df = self.df.where(~same)
         previous.append((var, types, False))
-        self.bind_node(node, self.reach(rel, 1), f"{var}$to")
+        self.bind_node(node, self.reach(rel, 1), f"{var}$to" if carrier != node[1] else None)
         self.df = self.df.drop(f"{var}$from", f"{var}$to")
 
+    def carried(self, rel, source, node) -> tuple[str | None, DataFrame | None]:
+        """The node, new here, whose columns the relationships' own table holds, and that table with `from` and `to`."""
+        types, direction = rel[2], rel[4]
+        if len(types) != 1 or direction == "both" or types[0] not in self.graph.wide or source[1] == node[1]:
+            return None, None
+        which, table = self.graph.wide[types[0]]
+        at = int((which == "end") == (direction == "out"))
+        own = (source, node)[at]
+        if own[1] in self.env or not self.certain(own[2], self.reach(rel, at)):
+            return None, None
+        return own[1], self.directed(table.withColumn("type", F.lit(types[0])), "start", "end", direction)
+
     def variable_length(self, rel, source: str, node, previous: list, path: str | None) -> None:
         """Unrolled steps that never repeat a relationship; without an upper bound until none can follow."""
         _, var, types, props, direction, (low, high) = rel

@@ -29,11 +29,13 @@ class PropertyGraph:
     """nodes: label -> DataFrame(id, properties...); rels: type -> (DataFrame(id, start, end, properties...), start label, end label).
 
     A node table may hold a column `labels` where its nodes have other labels than the table's name;
-    `mixed` has the labels that such a table may hold. Changes make new graphs, which share what is unchanged.
+    `mixed` has the labels that such a table may hold. `wide` names relationships whose start or end is a row of the
+    same table: ("start" | "end", the relationships with that node's columns, as `#n$name`), which spares a join.
+    Changes make new graphs, which share what is unchanged, but for `wide`.
     """
 
-    def __init__(self, nodes: dict[str, DataFrame], rels: dict[str, tuple[DataFrame, str | None, str | None]], procedures: dict | None = None, mixed: dict[str, set[str]] | None = None):
-        self.nodes, self.rels, self.procedures, self.mixed = nodes, rels, procedures if procedures is not None else {}, mixed or {}
+    def __init__(self, nodes: dict[str, DataFrame], rels: dict[str, tuple[DataFrame, str | None, str | None]], procedures: dict | None = None, mixed: dict[str, set[str]] | None = None, wide: dict[str, tuple[str, DataFrame]] | None = None):
+        self.nodes, self.rels, self.procedures, self.mixed, self.wide = nodes, rels, procedures if procedures is not None else {}, mixed or {}, wide or {}
 
     def changed(self, nodes: dict | None = None, rels: dict | None = None, mixed: dict | None = None) -> PropertyGraph:
         return PropertyGraph({**self.nodes, **(nodes or {})}, {**self.rels, **(rels or {})}, self.procedures, {**self.mixed, **(mixed or {})})
@@ -161,8 +163,16 @@ def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     def ident(label: str, key) -> F.Column:
         return F.lit(number[label] << KEY_BITS) + F.col(key).cast("long")
 
+    def properties(table: DataFrame, key: str, prefix: str) -> dict[str, F.Column]:
+        return {"key": F.col(key).cast("long"), **{c.removeprefix(prefix): F.col(c) for c in table.columns if c != key}}
+
     def nodes(label: str, table: DataFrame, key: str, prefix: str) -> DataFrame:
-        return table.select(ident(label, key).alias("id"), F.col(key).cast("long").alias("key"), *[F.col(c).alias(c.removeprefix(prefix)) for c in table.columns if c != key])
+        return table.select(ident(label, key).alias("id"), *[c.alias(n) for n, c in properties(table, key, prefix).items()])
+
+    def with_node(which: str, table: DataFrame, label: str, key: str, prefix: str, start: F.Column, end: F.Column) -> tuple[str, DataFrame]:
+        """Relationships whose ids are their node's keys, with that node."""
+        own = {**properties(table.drop("c_nationkey", "s_nationkey", "n_regionkey", "o_custkey", "user_id"), key, prefix), "labels": F.array(F.lit(label))}
+        return which, table.select(F.col(key).cast("long").alias("id"), start.alias("start"), end.alias("end"), *[c.alias(f"#n${n}") for n, c in own.items()])
 
     def rel(table: DataFrame, a: str, akey: str, b: str, bkey: str, ident_key: str, **props):
         return table.select(F.col(ident_key).cast("long").alias("id"), ident(a, akey).alias("start"), ident(b, bkey).alias("end"), *[F.col(c).alias(n) for n, c in props.items()]), a, b
@@ -176,6 +186,8 @@ def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     items = items.withColumn("lid", F.col("l_orderkey") * 4096 + place)
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     following = t["events"].select("event_id", F.lead("event_id").over(order).alias("following")).where("following is not null")
+    orders = t["orders"].withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "priority", "o_orderdate": "orderdate"})
+    seen = events.select("event_id", "ts", "type", "value", "k", "user_id")
     supplied = t["lineitem"].groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n")).withColumn("sid", F.col("l_suppkey") * (1 << 32) + F.col("l_partkey"))
     return PropertyGraph(
         {
@@ -184,9 +196,9 @@ def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
             "Customer": nodes("Customer", drop("customer", "c_nationkey"), "c_custkey", "c_"),
             "Supplier": nodes("Supplier", drop("supplier", "s_nationkey"), "s_suppkey", "s_"),
             "Part": nodes("Part", t["part"], "p_partkey", "p_"),
-            "Order": nodes("Order", t["orders"].drop("o_custkey").withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "priority", "o_orderdate": "orderdate"}), "o_orderkey", "o_"),
+            "Order": nodes("Order", orders.drop("o_custkey"), "o_orderkey", "o_"),
             "User": nodes("User", t["events"].select("user_id").distinct(), "user_id", ""),
-            "Event": nodes("Event", events.select("event_id", "ts", "type", "value", "k"), "event_id", ""),
+            "Event": nodes("Event", seen.drop("user_id"), "event_id", ""),
             "Document": nodes("Document", t["documents"], "doc_id", ""),
         },
         {
@@ -199,4 +211,11 @@ def star_graph(spark: SparkSession, folder: str) -> PropertyGraph:
             "DID": rel(t["events"], "User", "user_id", "Event", "event_id", "event_id"),
             "NEXT": rel(following, "Event", "event_id", "Event", "following", "event_id"),
         },
+        wide={
+            "IN_REGION": with_node("start", t["nation"], "Nation", "n_nationkey", "n_", ident("Nation", "n_nationkey"), ident("Region", "n_regionkey")),
+            "LIVES_IN": with_node("start", t["customer"], "Customer", "c_custkey", "c_", ident("Customer", "c_custkey"), ident("Nation", "c_nationkey")),
+            "BASED_IN": with_node("start", t["supplier"], "Supplier", "s_suppkey", "s_", ident("Supplier", "s_suppkey"), ident("Nation", "s_nationkey")),
+            "PLACED": with_node("end", orders, "Order", "o_orderkey", "o_", ident("Customer", "o_custkey"), ident("Order", "o_orderkey")),
+            "DID": with_node("end", seen, "Event", "event_id", "", ident("User", "user_id"), ident("Event", "event_id")),
+        },
     )
