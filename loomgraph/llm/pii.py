@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +308,12 @@ def train(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict:
     return model
 
 
+@lru_cache(maxsize=1)
+def default_model() -> dict:
+    """What `train` gives, made once in a driver's life."""
+    return train()
+
+
 # --- decoding ---------------------------------------------------------------------------------------------
 
 
@@ -420,7 +427,7 @@ def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
     has no spans. Rows are judged alone, so repeated rows agree; an empty table gives no rows; a null
     doc_id stays null. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches):
         for b in small(batches):

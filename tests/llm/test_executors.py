@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-from loomgraph.llm import common, jaccard, substring
+from loomgraph.llm import classifier, common, decontam, jaccard, pii, substring
 
 RUN = """
 import pickle, sys
@@ -30,6 +30,10 @@ def test_tasks_run_without_the_repository(tmp_path):
         lambda: sum(b.num_rows for b in jaccard.first_pass([pair], 14, 14)),
         lambda: sum(b.num_rows for b in jaccard.prefix_rows([pair], order, 4)),
         lambda: len(common.ngram_hashes(common.word_hashes(text.split()), 5)),
+        lambda: len(pii.accept("at a.b@c.de", pii.base_spans("at a.b@c.de"), [])),
+        lambda: int(classifier.Model(np.ones(classifier.BUCKETS), 0.0).score(text, {}) > 0.7),
+        lambda: len(decontam.item_windows(decontam.normal_words(text))),
+        lambda: jaccard.trie_of([1], {1: np.arange(4, dtype=np.uint64)}, {1: 4}).links(np.arange(4, dtype=np.uint64), 4).sum(),
     ]
     # the test module itself would not be there either
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
