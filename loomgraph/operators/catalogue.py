@@ -271,6 +271,12 @@ def _call_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cypher(graph, "MATCH (c:Customer) CALL tax.rate(c.mktsegment) YIELD rate AS r RETURN r, count(*) AS n", spark)
 
 
+def _call_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star_graph(spark, sf_dir)
+    graph.register_procedure("graph.segments", [], graph.nodes["Customer"].select("mktsegment").distinct())
+    return cypher(graph, "CALL graph.segments() YIELD mktsegment AS s RETURN s, size(s) AS n", spark)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key-value log of the events: one database for each user's number modulo 3, deletions at errors."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("concat('db', user_id % 3) AS db", "concat('user:', user_id) AS key", "cast(value AS string) AS value", "event_id AS seq", "if(event_type = 'error', 'DELETE', 'PUT') AS op")
@@ -328,6 +334,7 @@ _LAST = "SELECT db, key, value FROM (SELECT 'db' || (user_id % 3) AS db, 'user:'
 
 GRAPH_CALLABLES = {name: _query(text) for name, (text, _) in GRAPH_QUERIES.items()} | {name: _changed(change, then) for name, (change, then, _) in CHANGES.items()} | {
     "call_args": _call_args,
+    "call_yield": _call_yield,
     "kv_replay": _kv_replay,
     "kv_stream": _kv_stream,
     "kv_prefix_scan": lambda spark, sf_dir: kv.prefix_scan(kv.replay(_log(spark, sf_dir)).select("key", "value"), "user:1"),
@@ -340,6 +347,7 @@ GRAPH_CALLABLES = {name: _query(text) for name, (text, _) in GRAPH_QUERIES.items
 }
 GRAPH_SQL = {name: sql for name, (_, sql) in GRAPH_QUERIES.items()} | {name: sql for name, (_, _, sql) in CHANGES.items()} | {
     "call_args": "SELECT r, count(*) AS n FROM customer JOIN (VALUES ('BUILDING', 5::BIGINT), ('MACHINERY', 7::BIGINT)) t(s, r) ON s = c_mktsegment GROUP BY 1",
+    "call_yield": "SELECT DISTINCT c_mktsegment AS s, length(c_mktsegment) AS n FROM customer",
     "kv_replay": f"SELECT key, value FROM ({_LAST})",
     "kv_stream": f"SELECT key, value FROM ({_LAST})",
     "kv_prefix_scan": f"SELECT key, value FROM ({_LAST}) WHERE starts_with(key, 'user:1') ORDER BY key",

@@ -71,6 +71,8 @@ ROWS = [
     ("MATCH (a:Person) WITH collect(a) AS l UNWIND l AS m RETURN m.name AS x ORDER BY x", ["Ann", "Ben", "Cat", "Dan"]),
     ("RETURN head([3, 4]) + last([5, 6]) + size(tail([1, 2, 3])) AS x", [11]),
     ("MATCH (n)-[r]-(m) RETURN count(DISTINCT r) AS x", [6]),
+    ("UNWIND [[2], [1, 5], [1], null] AS x RETURN x ORDER BY x", [[1], [1, 5], [2], None]),
+    ("UNWIND [true, null, false] AS x RETURN x ORDER BY x DESC", [None, True, False]),
 ]
 
 
