@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -308,10 +307,14 @@ def train(n: int = TRAIN, epochs: int = EPOCHS, seed: int = SEED) -> dict:
     return model
 
 
-@lru_cache(maxsize=1)
+#: The default model, once it is made in a driver's life.
+MADE: dict[str, dict] = {}
+
+
 def default_model() -> dict:
-    """What `train` gives, made once in a driver's life."""
-    return train()
+    if "model" not in MADE:
+        MADE["model"] = train()
+    return MADE["model"]
 
 
 # --- decoding ---------------------------------------------------------------------------------------------
