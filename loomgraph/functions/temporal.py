@@ -63,11 +63,14 @@ def duration_of(parts: dict[str, Column]) -> Column:
     """From possibly fractional parts: a fraction of a month is mean days, one of a day seconds."""
     get = lambda *names: sum((parts[n].cast("double") * k for n, k in names if n in parts), F.lit(0.0))
     small = [("hours", 3600 * NANO), ("minutes", 60 * NANO), ("seconds", NANO), ("milliseconds", 1_000_000), ("microseconds", 1000), ("nanoseconds", 1)]
-    nanos = sum((F.round(parts[n].cast("decimal(28,9)") * k).cast("long") for n, k in small if n in parts), lit(0))
+    # a long holds nanoseconds of 292 years: of more, a decimal, whole seconds are split off
+    nanos = sum((F.round(parts[n].cast("decimal(28,9)") * k) for n, k in small if n in parts), F.lit(0).cast("decimal(1,0)"))
     given = F.struct(get(("years", 12), ("quarters", 3), ("months", 1)).alias("m"), get(("weeks", 7), ("days", 1)).alias("d"), nanos.alias("n"))
     # a fraction goes down a unit, months first
-    months = let(given, lambda p: F.struct(whole(p["m"]).alias("m"), (p["d"] + F.round((p["m"] - whole(p["m"])) * MONTH / DAY, 9)).alias("d"), p["n"].alias("n")))
-    return let(months, lambda p: duration(p["m"], whole(p["d"]), 0, p["n"] + F.round((p["d"] - whole(p["d"])) * DAY * NANO).cast("long")))
+    long = lambda s, n: F.struct(s.cast("long").alias("s"), n.cast("long").alias("n"))
+    split = lambda n: F.when(F.abs(n) < 9 * NANO * NANO, long(lit(0), n)).otherwise(long((n - n % NANO) / NANO, n % NANO))
+    months = let(given, lambda p: F.struct(whole(p["m"]).alias("m"), (p["d"] + F.round((p["m"] - whole(p["m"])) * MONTH / DAY, 9)).alias("d"), split(p["n"]).alias("n")))
+    return let(months, lambda p: duration(p["m"], whole(p["d"]), p["n"]["s"], p["n"]["n"] + F.round((p["d"] - whole(p["d"])) * DAY * NANO).cast("long")))
 
 
 def found(x: Column, pattern: str, group: int) -> Column:
@@ -363,10 +366,14 @@ def plain_plus(x: Column, t: T.DataType, d: Column, sign: int) -> Column:
     return after if kind == "localdatetime" else zoned(after, F.when(x["zone"].isNull(), x["offset"]), x["zone"])
 
 
-def scale(d: Column, factor: Column, over: bool = False) -> Column:
-    f = factor.cast("double")
-    part = lambda x: x.cast("double") / f if over else x.cast("double") * f
-    return duration_of({"months": part(d["months"]), "days": part(d["days"]), "seconds": part(d["seconds"]), "nanoseconds": part(d["nanos"])})
+def scale(d: Column, factor: Column, t: T.DataType, over: bool = False) -> Column:
+    """A duration times or over a number of type t; whole numbers scale its clock part exactly, which a double holds to 2^53 seconds."""
+    exact = "decimal(19,0)" if isinstance(t, T.IntegralType) else "double"
+
+    def part(x: Column, kind: str = "double") -> Column:
+        return x.cast(kind) / factor.cast(kind) if over else x.cast(kind) * factor.cast(kind)
+
+    return duration_of({"months": part(d["months"]), "days": part(d["days"]), "seconds": part(d["seconds"], exact), "nanoseconds": part(d["nanos"], exact)})
 
 
 def between(a: Column, ta: T.DataType, b: Column, tb: T.DataType, what: str) -> Column:

@@ -412,9 +412,9 @@ class Plan(Updates):
         if op == "+" and kinds[1] in temporal.KINDS:
             return temporal.plus(b, tb, a)
         if op in "*/" and kinds == ("duration", "number"):
-            return temporal.scale(a, b, op == "/")
+            return temporal.scale(a, b, tb, op == "/")
         if op == "*" and kinds == ("number", "duration"):
-            return temporal.scale(b, a)
+            return temporal.scale(b, a, ta)
         raise CypherTypeError("InvalidArgumentType", f"{kinds[0]} {op} {kinds[1]}")
 
     def call(self, name: str, args, local) -> Column:

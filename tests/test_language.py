@@ -109,6 +109,17 @@ def test_times(spark, town):
     assert {t: x for (t, _), x in zip(TIMES, found, strict=True)} == dict(TIMES)
 
 
+LONG = [
+    ("duration({hours: 3000000})", "PT3000000H"), ("duration({hours: -3000000, nanoseconds: 1})", "PT-2999999H-59M-59.999999999S"), ("duration('PT3000000H') * 2", "PT6000000H"), ("duration('PT3000000H') / 3", "PT1000000H"),
+    ("duration({seconds: 9007199254740993}) * 1", "PT2501999792983H36M33S"), ("duration({seconds: 9223372036854775807})", "PT2562047788015215H30M7S"), ("date('2000-01-01') + duration({hours: 3000000})", "2342-03-29"),
+]
+
+
+def test_durations_of_more_than_292_years(spark, town):
+    found = cypher(town, "RETURN " + ", ".join(f"toString({t}) AS x{k}" for k, (t, _) in enumerate(LONG)), spark).first()
+    assert {t: x for (t, _), x in zip(LONG, found, strict=True)} == dict(LONG)
+
+
 def test_parts_of_times(spark, town):
     query = "RETURN " + ", ".join(f"{t} AS x{k}" for k, (t, _) in enumerate(PARTS))
     found = cypher(town, query, spark).first()
