@@ -457,6 +457,11 @@ def clock_text(nanos: Column) -> Column:
     return F.concat(shown, F.when(nanos % (60 * NANO) != 0, seconds).otherwise(""), F.when(part != 0, fraction).otherwise(""))
 
 
+def date_text(x: Column) -> Column:
+    """Year, month and day; a year after 9999 has no sign, as in the reference and strftime, which Spark gives it."""
+    return F.ltrim(x.cast("date").cast("string"), F.lit("+"))
+
+
 def text(x: Column, t: T.DataType) -> Column:
     return let(x, lambda v: plain_text(v, t))
 
@@ -464,7 +469,7 @@ def text(x: Column, t: T.DataType) -> Column:
 def plain_text(x: Column, t: T.DataType) -> Column:
     kind = kind_of(t)
     if kind == "date":
-        return x.cast("string")
+        return date_text(x)
     if kind == "duration":
         part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
         m, d, s, n = (x[f] for f in ("months", "days", "seconds", "nanos"))
@@ -478,7 +483,7 @@ def plain_text(x: Column, t: T.DataType) -> Column:
     clock = let(nanos_of_day(x, t), clock_text)
     if kind in ("time", "localtime"):
         return F.concat(clock, offset_text(x["offset"])) if kind == "time" else clock
-    out = F.concat(F.date_format(local(x, t), "yyyy-MM-dd'T'"), clock)
+    out = F.concat(date_text(local(x, t)), F.lit("T"), clock)
     if kind == "localdatetime":
         return out
     return F.concat(out, offset_text(x["offset"]), F.coalesce(F.concat(F.lit("["), x["zone"], F.lit("]")), F.lit("")))

@@ -37,7 +37,7 @@ def late(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["duration_parts"])
+@pytest.mark.parametrize("name", ["duration_parts", "epoch"])
 def test_late_events_against_sql(spark, late, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{late}/events.parquet/*.parquet'")

@@ -120,6 +120,17 @@ def test_durations_of_more_than_292_years(spark, town):
     assert {t: x for (t, _), x in zip(LONG, found, strict=True)} == dict(LONG)
 
 
+FAR = [
+    ("date('+18397-06-07')", "18397-06-07"), ("date({year: 9999, month: 12, day: 31}) + duration('P1D')", "10000-01-01"), ("date('18397-06-07') + 'T'", "18397-06-07T"), ("date('-0005-01-02')", "-0005-01-02"), ("date('0005-01-02')", "0005-01-02"),
+    ("localdatetime('18397-06-07T21:40')", "18397-06-07T21:40"), ("datetime('18397-06-07T21:40+01:00')", "18397-06-07T21:40+01:00"), ("datetime.fromepochmillis(518399913600000)", "18397-06-10T00:00Z"),
+]
+
+
+def test_years_of_five_digits_have_no_sign(spark, town):
+    found = cypher(town, "RETURN " + ", ".join(f"toString({t}) AS x{k}" for k, (t, _) in enumerate(FAR)), spark).first()
+    assert {t: x for (t, _), x in zip(FAR, found, strict=True)} == dict(FAR)
+
+
 def test_parts_of_times(spark, town):
     query = "RETURN " + ", ".join(f"{t} AS x{k}" for k, (t, _) in enumerate(PARTS))
     found = cypher(town, query, spark).first()
