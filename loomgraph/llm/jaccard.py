@@ -49,6 +49,8 @@ SMALL, FEW, LEADERS = 16, 64, 8
 FLUSH, CHUNK = 1_000_000, 512
 #: Members of a group in a row of packed ones, and in one task of later rounds.
 PACKED, MEMBERS = 65_536, 20_000
+#: Links that a task contracts at once, at 16 bytes each; no more than these go to one task.
+TOGETHER = 1 << 20
 #: Bits of the parity signature by which pairs are turned down, in columns of 64.
 SIGNATURE = 512
 SIGS = [f"s{k}" for k in range(SIGNATURE // 64)]
@@ -413,12 +415,46 @@ def verify(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
 # --- connected components --------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> tuple[DataFrame, Stash]:
-    """(id, root), and the stash that holds it: the least id of each node's component, by alternating large and small stars.
+def stars(links: np.ndarray) -> pa.RecordBatch:
+    """Links (two rows of ends) as their components' stars: each node but the least of its component, with that one."""
+    names, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    below = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[below]), pa.array(names[root[below]])], ["u", "v"])
+
+
+def contracted(batches):
+    """Stars in place of a task's links, up to TOGETHER and a batch of them at once."""
+    held, total = [], 0
+    for b in batches:
+        held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+        total += b.num_rows
+        if total > TOGETHER:
+            yield stars(np.concatenate(held, 1))
+            held, total = [], 0
+    if held:
+        yield stars(np.concatenate(held, 1))
+
 
-    Only links are held, in the cluster; each round is written to the shared folder.
+def components(links: DataFrame) -> Stash:
+    """A stash of (u, v): each node but the least of its component, with that least one.
+
+    Each task contracts its links. What is left of them is contracted in one task up to TOGETHER rows, which
+    spares the driver some ten exchanges a round; more go through alternating large and small stars, which
+    hold only links, in the cluster, and write each round to the shared folder.
     """
-    held = Stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    held = Stash(links.mapInArrow(contracted, "u long, v long"), "links")
+    if held.df.count() <= TOGETHER:
+        after = Stash(held.df.coalesce(1).mapInArrow(contracted, "u long, v long"), "links")
+        held.drop()
+        return after
     mark = None
     while True:
         edges = held.df
@@ -433,7 +469,7 @@ def components(links: DataFrame) -> tuple[DataFrame, Stash]:
         held = after
         now = held.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
-            return held.df.select(F.col("u").alias("id"), F.col("v").alias("root")), held
+            return held
         mark = tuple(now)
 
 
@@ -598,10 +634,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         reps = classes.join(involved, "cls", "left_semi").select(F.coalesce("rep", F.lit(int(LAST))).alias("doc")).distinct()
         return candidate_sets(base, reps, order).dropDuplicates(["cls"])
 
+    def roots_of(trees: Stash) -> DataFrame:
+        return trees.df.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
     n_groups = groups.count()
     if n_pairs or n_groups:
-        links = Stash(verify(pairs, sets_of(pairs), n_pairs), "links")
-        roots, trees = components(links.df)
+        trees = components(verify(pairs, sets_of(pairs), n_pairs))
+        roots = roots_of(trees)
         k = LEADERS
         while n_groups:
             k *= 512
@@ -611,15 +650,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             led.drop()
             n_more = more.df.count()
             if n_more:
-                after = Stash(links.df.union(verify(more.df, sets_of(more.df), n_more)), "links")
-                links.drop()
+                after = components(trees.df.union(verify(more.df, sets_of(more.df), n_more)))
                 trees.drop()
-                links = after
-                roots, trees = components(after.df)
+                trees = after
+                roots = roots_of(trees)
             more.drop()
             if not incomplete:
                 break
-        held += [links, trees]
+        held.append(trees)
     if roots is None:
         named = classes.select(F.col("cls").alias("c"), F.col("rep").alias("least"))
     else:

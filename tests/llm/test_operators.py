@@ -153,6 +153,28 @@ def test_large_candidate_groups(spark, monkeypatch, tight):
     assert found == {k: find(k) for k in range(150)}
 
 
+@pytest.mark.parametrize("together", [0, 10**6])
+def test_components(spark, monkeypatch, together):
+    """Chains, stars, rings and repeated links end at their least node, in few jobs where one task can hold the links."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    names = rng.choice(10**12, 600, replace=False) - 5 * 10**11
+    links = [(k, k + 1) for k in range(80)] + [(199, k) for k in range(100, 199)] + [(200 + k, 200 + (k + 1) % 40) for k in range(40)] + [(300, 301), (301, 300), (300, 300)]
+    links += [tuple(x) for x in rng.integers(310, 600, (200, 2)).tolist()]
+    links = [tuple(int(names[x]) for x in links[k]) for k in rng.permutation(len(links))]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    found = jaccard.components(spark.createDataFrame(links, "u long, v long").repartition(5))
+    jobs = len(set(tracker.getJobIdsForGroup(None)) - before)
+    assert {r["u"]: r["v"] for r in found.df.collect()} == {x: r for x, r in root.items() if x != r}
+    assert found.df.count() == sum(x != r for x, r in root.items())
+    assert not together or jobs <= 6
+
+
 def test_decontamination(spark, docs, rows):
     items = [(1, " ".join(rows[10][1].split()[5:40])), (2, "One"), (3, None), (4, ""), (10, rows[10][1])]
     found = {(r["doc_id"], r["n_words"]): r for r in decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), spans=True).collect()}
