@@ -446,15 +446,19 @@ def contracted(batches):
 def components(links: DataFrame) -> Stash:
     """A stash of (u, v): each node but the least of its component, with that least one.
 
-    Each task contracts its links. What is left of them is contracted in one task up to TOGETHER rows, which
-    spares the driver some ten exchanges a round; more go through alternating large and small stars, which
-    hold only links, in the cluster, and write each round to the shared folder.
+    Up to TOGETHER links are contracted in one task, which spares the driver some ten exchanges a round. More
+    are contracted by each task, and if what is left is still more go through alternating large and small stars,
+    which hold only links, in the cluster, and write each round to the shared folder. Links are written before
+    they are contracted, so that no task holds a Python worker that makes links and another that contracts them.
     """
-    held = Stash(links.mapInArrow(contracted, "u long, v long"), "links")
-    if held.df.count() <= TOGETHER:
-        after = Stash(held.df.coalesce(1).mapInArrow(contracted, "u long, v long"), "links")
+    held = Stash(links, "links")
+    for _ in range(2):
+        together = held.df.count() <= TOGETHER
+        after = Stash((held.df.coalesce(1) if together else held.df).mapInArrow(contracted, "u long, v long"), "links")
         held.drop()
-        return after
+        if together:
+            return after
+        held = after
     mark = None
     while True:
         edges = held.df
